@@ -76,8 +76,8 @@ WITH RECURSIVE d AS (SELECT doc_id, coalesce({_ALNUM_WORDS}, []) AS w FROM docum
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g
       FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM both JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON r.y = l.x)
 SELECT d.doc_id, (SELECT min(y) FROM reach WHERE reach.x = d.doc_id) AS class_id, (SELECT count(*) FROM links WHERE links.x = d.doc_id) AS n_links FROM d
 """
