@@ -10,15 +10,27 @@ from pyspark.sql import functions as F
 
 from headwind.llm.decontaminate import contaminated, find_benchmark_words
 from headwind.llm.jaccard import near_duplicates
+from headwind.llm.langid import languages_of_documents
 from headwind.llm.mixing import mix_to_targets
 from headwind.llm.quality import quality_scores
+from headwind.llm.rules import apply_rules
 from headwind.llm.tokenfiles import read_token_files, write_token_files
+from headwind.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages_of_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -27,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -45,7 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_mixture": op1_language_mixture,
+    "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
@@ -71,6 +90,50 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Rates, fences and sketch buckets as in rules.py, spelled out: the lower edge of 32 buckets to each power of two.
+_RATES = {"wl": "100 * word_chars // n_words", "sy": "1000 * n_symbols // word_chars", "du": "1000 * n_dup_lines // n_lines", "re": "1000 * n_repeat_words // n_words"}
+_SPREADS = {"wl": (6, 20), "sy": (3, 6), "du": (3, 100), "re": (3, 50)}
+
+
+def _edge(v: str) -> str:
+    shift = f"greatest(length(bin({v})) - 6, 0)"
+    return f"((({v}) >> {shift}) << {shift})"
+
+
+def _quartile(v: str, k: int) -> str:
+    return f"list_sort(list({_edge(v)}))[CAST(ceil({k} * count(*) / 4.0) AS BIGINT)]"
+
+
+def _op5() -> str:
+    wanted = [f"{_quartile('n_words', 2)} AS words", *(f"{_quartile(sql, k)} AS {r}{k}" for r, sql in _RATES.items() for k in (1, 3))]
+    names = ["words", *(f"{r}{k}" for r in _RATES for k in (1, 3))]
+    picked = ", ".join(f"CASE WHEN a.n >= 200 THEN a.{x} WHEN b.n >= 200 THEN b.{x} ELSE c.{x} END AS {x}" for x in names)
+    room = "sqrt(greatest(1.0, words / n_words))"
+    spread = {r: f"{t} * greatest({r}3 - {r}1, {least}) * {room}" for r, (t, least) in _SPREADS.items()}
+    tests = [f"{sql} <= {r}3 + {spread[r]}" for r, sql in _RATES.items()] + [f"{_RATES['wl']} >= wl1 - {spread['wl']}"]
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, trim(coalesce(text, ''), {blanks}) AS bare FROM documents),
+w AS (SELECT *, CASE WHEN bare = '' THEN [] ELSE string_split_regex(bare, '[\x20\x09-\x0D]+') END AS w,
+      list_filter(string_split(text, chr(10)), lambda x: trim(x, {blanks}) <> '') AS lines FROM t),
+win AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 7), ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 6, 1))) AS r(p)),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) AS x WHERE c > 1),
+again AS (SELECT doc_id, count(DISTINCT q) AS n FROM twice, unnest(range(p, p + 8)) AS u(q) GROUP BY doc_id),
+counts AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
+           CAST(length(translate(text, {blanks}, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words FROM w LEFT JOIN again USING (doc_id)),
+d AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+fit AS (SELECT * FROM d WHERE NOT base_failed),
+a AS (SELECT lang, source, count(*) AS n, {', '.join(wanted)} FROM fit GROUP BY lang, source),
+b AS (SELECT lang, count(*) AS n, {', '.join(wanted)} FROM fit GROUP BY lang),
+c AS (SELECT {', '.join(wanted)} FROM fit),
+f AS (SELECT a.lang, a.source, {picked} FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang CROSS JOIN c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       CASE WHEN base_failed THEN false ELSE {' AND '.join(tests)} END AS kept
+FROM d LEFT JOIN f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source
+"""
+
+
 _OP7 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce({_ALNUM_WORDS}, []) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g
@@ -82,6 +145,6 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reac
 SELECT d.doc_id, (SELECT min(y) FROM reach WHERE reach.x = d.doc_id) AS class_id, (SELECT count(*) FROM links WHERE links.x = d.doc_id) AS n_links FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op7_jaccard_join": _OP7}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op5_quality_rules": _op5(), "op7_jaccard_join": _OP7}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

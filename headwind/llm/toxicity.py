@@ -34,7 +34,7 @@ LOOKS_LIKE = {
 }
 #: Costs, as negative logarithms: a letter for a sign that resembles it, nothing for a mark, for a sign that resembles a
 #: letter, or for a repetition, any vowel for a star, and a sign that stands for itself and so ends a word.
-SWAP, DROP, LOSE, REPEAT, STAR, STAY = 1.0, 0.5, 3.0, 0.3, 2.0, 6.0
+SWAP, DROP, LOSE, REPEAT, STAR, STAY = 1.0, 0.5, 5.0, 0.3, 2.0, 10.0
 
 _SIGNS = K._class(b"0123456789@$!|+(<")
 _LETTERS = K._class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
