@@ -37,11 +37,16 @@ SHARD_IDS, REMEMBERED, KEPT = 1 << 23, 900_000, 450_000
 END_ID = 1
 
 
+#: The pattern of the split under which words can be encoded apart.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, each distinct word once while it is remembered.
 
-    Texts are cut at blanks and line ends only if the tokenizer drops white space before it splits (a removing Split
-    whose pattern matches none), for then no token spans it and the ids are the same; else texts are encoded whole.
+    Texts are cut into words only if the tokenizer lower-cases and then splits letters, digits and marks from each other
+    and from white space, which it drops: no token spans such a cut, so the ids are the same as of whole texts. With any
+    other tokenizer, and where a text may hold a special token, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,7 +57,10 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         first = steps[0] if steps else {}
-        self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s" in first["pattern"].get("Regex", "") and not any(t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
+        folds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        plain = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+        splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+        self.by_word = plain and splits and first["pattern"].get("Regex") == _WORDS and folds == ["NFC", "Replace", "Lowercase"]
         self.pending: list[str] = []
         self.numbers = _Numbers(self.pending)
         self.at, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
@@ -75,26 +83,38 @@ class Encoder:
         self.at = np.concatenate([self.at, self.used + np.cumsum(counts)])
         self.used += total
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of the texts, one after another."""
-        if not self.by_word:
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of a batch's documents, one after another."""
+        raw = data.tobytes()
+        if not self.by_word or b"<|" in raw:
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+            return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
         if len(self.numbers) > REMEMBERED:
             self._forget()
-        words: list[str] = []
-        sizes = []
-        for t in texts:
-            own = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            sizes.append(len(own))
-            words += own
+        plain = _PLAIN[data]
+        letter, mark = _LETTER[plain], _MARK[plain]
+        cuts = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+        cuts = np.union1d(cuts, offs[1:-1])
+        spaced = np.insert(plain, cuts, 0x20)
+        words = list(filter(None, spaced.tobytes().decode("utf-8", "replace").split(" ")))
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if self.pending:
             self._learn()
         counts = self.at[numbers + 1] - self.at[numbers]
         ends = np.cumsum(counts)
         ids = self.flat[np.repeat(self.at[numbers] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, K.segment_sum(counts, np.concatenate([[0], np.cumsum(sizes)]))
+        _, _, at = K.spans(spaced, offs + np.searchsorted(cuts, offs), _INK)
+        return ids, K.segment_sum(counts, at)
+
+
+#: What leaves the ids alone, as the tokenizer drops white space and case and splits letters from marks: line ends as
+#: blanks, A-Z in lower case, and a blank between a letter and a mark that is no apostrophe.
+_PLAIN = K.LOWER.copy()
+_PLAIN[[0x09, 0x0A, 0x0D]] = 0x20
+_LETTER = K._class(bytes(range(0x61, 0x7B)))
+_MARK = K._class(bytes([*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+_INK = ~K._class(b" ")
 
 
 class _Numbers(dict):
@@ -176,8 +196,8 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str
 
     for batch in batches:
         column, keys = batch.column(1), batch.column(0).to_pylist()
-        for lo, hi, _, _ in K.text_batches(column):
-            found, n = own.encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
+        for lo, hi, data, offs in K.text_batches(column):
+            found, n = own.encode(data, offs)
             ends = np.cumsum(n)
             doc_ids += keys[lo:hi]
             counts.append(n + 1)
