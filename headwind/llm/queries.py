@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from headwind.llm.decontaminate import contaminated, find_benchmark_words
 from headwind.llm.jaccard import near_duplicates
 from headwind.llm.langid import languages_of_documents
+from headwind.llm.licenses import scan_licenses, train_licenses
 from headwind.llm.mixing import mix_to_targets
 from headwind.llm.quality import quality_scores
 from headwind.llm.rules import apply_rules
 from headwind.llm.tokenfiles import read_token_files, write_token_files
 from headwind.llm.toxicity import toxicity_scores
+from headwind.llm.urllists import host_of, judge_captures
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,35 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
 
 
+def _number(host: str) -> str:
+    """SQL for a number 0..255 from a host, the same in Spark and DuckDB."""
+    digit = lambda i: f"(instr('0123456789abcdef', substr(md5({host}), {i}, 1)) - 1)"
+    return f"(16 * {digit(1)} + {digit(2)})"
+
+
+#: Dated entries for hosts of pages, which bring no lists: (list, pattern, for hosts with, day of 2024, action).
+_ENTRIES = (
+    ("spam", "h", "m % 3 = 0", "m % 180", "add"),
+    ("spam", "h", "m % 3 = 0", "180 + m % 90", "remove"),
+    ("spam", "h", "m % 6 = 0", "300", "add"),
+    ("parked", "h", "m % 5 = 1", "m", "add"),
+    ("parked", "h", "m % 10 = 1", "m", "remove"),
+    ("paths", "h || '/en'", "m % 2 = 0", "m % 200", "add"),
+    ("paths", "h || '/en'", "m % 4 = 0", "200 + m % 100", "remove"),
+    ("zones", "substr(h, instr(h, '.') + 1)", "m % 7 = 3", "m + 60", "add"),
+)
+
+
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no fetch time: a page is taken as fetched on day page_id * 37 mod 360 of 2024."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE '2024-01-01', cast(pmod(page_id * 37, 360) as int))").alias("fetched"))
+    hosts = pages.select(host_of(F.col("url")).alias("h")).where("h is not null").distinct().select("h", F.expr(_number("h")).alias("m"))
+    each = F.array(*[F.when(F.expr(which), F.struct(F.lit(name).alias("list"), F.expr(pattern).alias("pattern"), F.expr(f"date_add(DATE '2024-01-01', cast({day} as int))").alias("day"), F.lit(action).alias("action"))) for name, pattern, which, day, action in _ENTRIES])
+    entries = hosts.select(F.explode(F.array_compact(each)).alias("e")).select("e.*")
+    judged = judge_captures(pages, entries)
+    return judged.select("row.page_id", "row.url", F.col("row.fetched").cast("string").alias("fetched"), "blocked", "n_active", "list", "pattern", F.col("since").cast("string").alias("since"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,6 +74,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = scan_licenses(docs, train_licenses(docs))
+    sure = F.filter("licenses", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.size(sure).alias("n_confirmed"), (F.size("licenses") - F.size(sure)).alias("n_unconfirmed"), F.round(F.array_max(F.transform("licenses", lambda x: x["probability"])), 4).alias("probability"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -62,9 +103,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_mixture": op1_language_mixture,
+    "op2_url_lists": op2_url_lists,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
@@ -72,6 +115,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+
+
+def _op2() -> str:
+    entries = " UNION ALL ".join(f"SELECT '{name}' AS list, {pattern} AS pattern, DATE '2024-01-01' + CAST({day} AS INT) AS day, '{action}' AS action FROM hm WHERE {which}" for name, pattern, which, day, action in _ENTRIES)
+    return f"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 360 AS INT) AS day, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS h,
+           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/*([^?#]*)', 1) AS path FROM pages),
+hm AS (SELECT h, {_number('h')} AS m FROM (SELECT DISTINCT h FROM p WHERE h <> '') AS x),
+e AS ({entries}),
+daily AS (SELECT list, pattern, day, bool_or(action = 'remove') AS off FROM e GROUP BY ALL),
+spells AS (SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM daily),
+live AS (SELECT * FROM spells WHERE NOT off),
+m AS (SELECT p.page_id, list, pattern, live.day AS since FROM p JOIN live ON
+      (p.h = pattern OR (ends_with(p.h, '.' || pattern) AND contains(pattern, '.')) OR starts_with(p.h || '/' || p.path || '/', CASE WHEN contains(pattern, '/') THEN pattern || '/' END))
+      AND live.day <= p.day AND (until IS NULL OR p.day < until)),
+best AS (SELECT page_id, count(*) AS n_active, arg_min(struct_pack(l := list, p := pattern, s := since), struct_pack(a := -length(pattern), b := list)) AS b FROM m GROUP BY page_id)
+SELECT p.page_id, p.url, CAST(p.day AS VARCHAR) AS fetched, n_active IS NOT NULL AS blocked, coalesce(n_active, 0) AS n_active,
+       b.l AS list, b.p AS pattern, CAST(b.s AS VARCHAR) AS since FROM p LEFT JOIN best USING (page_id)
+"""
+
+
 _ALNUM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 _OP4 = f"""
@@ -145,6 +209,6 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reac
 SELECT d.doc_id, (SELECT min(y) FROM reach WHERE reach.x = d.doc_id) AS class_id, (SELECT count(*) FROM links WHERE links.x = d.doc_id) AS n_links FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op5_quality_rules": _op5(), "op7_jaccard_join": _OP7}
+ORACLE_SQL: dict[str, str] = {"op2_url_lists": _op2(), "op4_decontamination": _OP4, "op5_quality_rules": _op5(), "op7_jaccard_join": _OP7}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
