@@ -24,28 +24,36 @@ def parsed(raw: DataFrame) -> DataFrame:
     missing = [c for c in COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"the stop events lack the columns {', '.join(missing)}")
-    typed = raw.withColumns(
-        {
-            "bpuic": names.station_number(F.col("BPUIC")),
-            "line": F.btrim(F.col("LINIEN_TEXT"), F.lit(" ")),
-            "planned": clock.stamp(F.col("ABFAHRTSZEIT")),
-            "actual": clock.stamp(F.col("AB_PROGNOSE")),
-            "day": clock.service_day(F.col("BETRIEBSTAG")),
-        }
+    values = F.struct(
+        names.station_number(F.col("BPUIC")).alias("bpuic"),
+        F.btrim(F.col("LINIEN_TEXT"), F.lit(" ")).alias("line"),
+        clock.stamp(F.col("ABFAHRTSZEIT")).alias("planned"),
+        clock.stamp(F.col("AB_PROGNOSE")).alias("actual"),
+        clock.service_day(F.col("BETRIEBSTAG")).alias("day"),
     )
+    # A generator of one row keeps tests of parsed values above it, so that nothing is parsed twice.
+    kept = [F.col(f"`{c}`") for c in raw.columns if c.lower() not in _PARSED]
+    typed = raw.select(*kept, F.inline(F.array(values)))
     return typed.withColumn("reason", _reason())
 
 
-def _reason() -> Column:
-    flagged = F.lit(False)
+def _flagged() -> Column:
+    out = F.lit(False)
     for flag in FLAGS:
-        flagged |= F.lower(F.coalesce(flag, F.lit(""))) == "true"
-    status = F.lower(F.coalesce("AB_PROGNOSE_STATUS", F.lit("")))
+        out |= F.lower(F.coalesce(flag, F.lit(""))) == "true"
+    return out
+
+
+def _unknown_status() -> Column:
+    return F.lower(F.coalesce("AB_PROGNOSE_STATUS", F.lit(""))).isin("", UNKNOWN_STATUS)
+
+
+def _reason() -> Column:
     delay = clock.seconds_between(F.col("planned"), F.col("actual"))
     offset = F.datediff(F.col("planned").cast("date"), F.col("day"))
     return (
-        F.when(flagged, "flag")
-        .when((status == "") | (status == UNKNOWN_STATUS), "status")
+        F.when(_flagged(), "flag")
+        .when(_unknown_status(), "status")
         .when(F.coalesce("line", F.lit("")) == "", "line")
         .when(F.col("bpuic").isNull(), "station")
         .when(F.col("planned").isNull() | F.col("actual").isNull(), "stamp")
@@ -56,7 +64,7 @@ def _reason() -> Column:
 
 def extract_observations(raw: DataFrame) -> DataFrame:
     """(service_day, bpuic, line, dep_min, day_offset, delay_s) of the rows that pass every test."""
-    kept = parsed(raw).where("reason is null")
+    kept = parsed(raw.where(~_flagged()).where(~_unknown_status())).where("reason is null")
     return kept.select(
         F.col("day").alias("service_day"), "bpuic", "line", clock.minute_of_day(F.col("planned")).cast("int").alias("dep_min"),
         F.datediff(F.col("planned").cast("date"), F.col("day")).cast("int").alias("day_offset"), clock.seconds_between(F.col("planned"), F.col("actual")).cast("int").alias("delay_s"),

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stop_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events rendered as the nine text columns of a stop-event file, with some rows of every kind that is dropped."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("off", _offset())
+    e = table(spark, sf_dir, "events").select("*", F.inline(F.array(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), _offset().alias("off")))))
     planned = F.concat(F.date_format("ts", "dd.MM.yyyy HH:"), F.lit("30:00"))
     number = F.concat((F.lit(STATION) + F.pmod("user_id", F.lit(5))).cast("string"), F.when(F.col("event_id") % 2 == 0, "12").otherwise(""))
     return e.select(
