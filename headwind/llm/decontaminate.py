@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwind.llm import kernel as K
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 
 WINDOW, GRAM = 13, 5
 #: Bytes of benchmark text in one broadcast block.
@@ -146,13 +146,13 @@ class BenchmarkIndex:
         return counts, K.segment_sum(hit.astype(np.int64), at), found, runs
 
 
-def _matched(docs: DataFrame, index, passed: str) -> DataFrame:
-    """docs (passed..., text) with RESULT in place of text."""
+def _matched(docs: DataFrame, index, passed: str, inside: str | None = None) -> DataFrame:
+    """docs (passed..., text) with RESULT in place of text; inside: the text is this field of the struct `row` instead."""
 
     def run(batches):
         own = index.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
+            column = batch.column(batch.schema.get_field_index("row")).field(inside) if inside else batch.column(batch.schema.get_field_index("text"))
             parts = [own.match(data, offs) for _, _, data, offs in K.text_batches(column)]
             keep = [n for n in batch.schema.names if n != "text"]
             n_words = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -165,7 +165,7 @@ def _matched(docs: DataFrame, index, passed: str) -> DataFrame:
                 names=[*keep, "n_words", "n_hit", "item_ids", "runs"],
             )
 
-    return docs.mapInArrow(run, f"{passed}, {RESULT}" if passed else RESULT)
+    return mapped(docs, run, f"{passed}, {RESULT}" if passed else RESULT)
 
 
 def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -177,11 +177,10 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     as its columns stay inside `row`.
     """
     spark = docs.sparkSession
-    ship(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     passed = f"row {source.schema['row'].dataType.simpleString()}"
 
     def index(block: int):
@@ -189,10 +188,11 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "tex
         return spark.sparkContext.broadcast(BenchmarkIndex.build([r[0] for r in rows], [r[1] for r in rows]))
 
     if blocks == 1:
-        return _matched(source, index(0), passed)
+        return _matched(source, index(0), passed, text)
     # Several blocks: what each finds is keyed by the text, merged, and joined to the documents again.
-    keyed = source.withColumn("key", F.struct(F.xxhash64("text").alias("a"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("b")))
-    texts = keyed.select("key", "text")
+    own = F.col("row").getField(text)
+    keyed = source.withColumn("key", F.struct(F.xxhash64(own).alias("a"), F.sha2(F.coalesce(own, F.lit("")), 256).alias("b")))
+    texts = keyed.select("key", own.alias("text"))
     key = f"key {texts.schema['key'].dataType.simpleString()}"
     parts = [_matched(texts, index(b), key).where("n_hit > 0") for b in range(blocks)]
     union = parts[0]
@@ -204,7 +204,7 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "tex
         .withColumn("runs", _merged_runs(F.col("runs")))
     )
     nothing = BenchmarkIndex.build([], [])
-    counted = _matched(keyed, spark.sparkContext.broadcast(nothing), f"{passed}, {key}")
+    counted = _matched(keyed, spark.sparkContext.broadcast(nothing), f"{passed}, {key}", text)
     runs = F.coalesce(F.col("m.runs"), F.col("c.runs"))
     return counted.alias("c").join(merged.alias("m"), F.col("c.key") == F.col("m.key"), "left").select(
         "c.row", "c.n_words", F.aggregate(runs, F.lit(0).cast("bigint"), lambda s, r: s + r["past"] - r["first"]).alias("n_hit"),

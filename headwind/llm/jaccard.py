@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from headwind.llm import kernel as K
 from headwind.llm.components import connected_components
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 from headwind.session import materialize
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, key: str, k: int, bands: int, rows: int) -> Data
             d = d.view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), lists], names=[*names, "n_words", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(run, f"{key}, n_words bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    return mapped(docs, run, f"{key}, n_words bigint, d1 bigint, d2 bigint, bands array<bigint>")
 
 
 class Sets:
@@ -210,7 +210,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     integer. text_hash (xxhash64 of the text) and doc_id name a row; first_id and first_hash name one row of the class,
     the same for all its members.
     """
-    ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
     signed = materialize(signatures(own, "doc_id bigint, text_hash bigint", k, bands, rows), "jaccard-signatures")
@@ -232,7 +231,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "weight", "text")
     spread = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "cid")
-    found = materialize(spread.mapInArrow(lambda it: _checked(it, k, threshold), "cid bigint, partners bigint, other bigint"), "jaccard-links")
+    found = materialize(mapped(spread, lambda it: _checked(it, k, threshold), "cid bigint, partners bigint, other bigint"), "jaccard-links")
     partners = found.where("other is null").groupBy("cid").agg(F.sum("partners").alias("partners"))
     links = found.where("other is not null").select(F.col("cid").alias("u"), F.col("other").alias("v"))
     roots = connected_components(links, "jaccard-linked").select(F.col("node").alias("cid"), "root")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH = 1 << 20
+BATCH = 1 << 19
 U64 = np.uint64
 
 

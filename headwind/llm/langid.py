@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from headwind.llm import letters as L
 from headwind.llm.folds import fold
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 
 BITS = 16
 #: Added to each trigram's count; the weight of likelihoods (trigrams overlap, so they count less than in full); steps
@@ -99,7 +99,6 @@ def _proportions(like: np.ndarray, owner: np.ndarray, first: np.ndarray, n: np.n
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from all rows with a text and a language. What reaches the driver is one number for each language and trigram."""
-    ship(rows.sparkSession)
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -126,7 +125,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
         yield from emptied()
 
     own = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
-    counted = own.mapInArrow(run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = mapped(own, run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return LanguageModel.of({name: (g["gram"].to_numpy(), g["n"].to_numpy()) for name, g in counted.groupby("lang")})
 
 
@@ -137,7 +136,6 @@ def detect_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
     towards an even share where words are few. A null text or one without a letter gets `und`, 0 and no languages, and so
     does every text if nothing was learned. Ties go to the language that sorts first.
     """
-    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text_of_document"))
 
@@ -149,7 +147,7 @@ def detect_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "lang_pred", "score", "languages", "proportions"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, {RESULT}" if schema else RESULT)
+    return mapped(own, run, f"{schema}, {RESULT}" if schema else RESULT)
 
 
 def languages_of_documents(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:

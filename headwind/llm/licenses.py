@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from headwind.llm import kernel as K
 from headwind.llm.folds import bounded_sample
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 
 #: Documents whose paragraphs stand for anything else at most; variants of a notice; words of an n-gram at most; the
 #: part of a notice's word pairs that confirms a prediction; the probability below which a paragraph is unknown.
@@ -215,7 +215,6 @@ def train_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Paragraphs of the corpus that have a third or more of a notice's word pairs are left out, as they may be notices.
     """
     spark = docs.sparkSession
-    ship(spark)
     families, rng = sorted(NOTICES), np.random.default_rng(seed)
     notices = {f: [_pairs(_words(t)) for t in NOTICES[f]] for f in families}
     rows, labels = [], []
@@ -255,7 +254,7 @@ def train_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     known = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id")).where("text is not null")
     some = bounded_sample(known, most_docs, F.struct("doc_id", "text")).select("text")
-    others = some.mapInArrow(corpus, "features array<int>, n bigint").groupBy("features").agg(F.sum("n").alias("n")).toPandas()
+    others = mapped(some, corpus, "features array<int>, n bigint").groupBy("features").agg(F.sum("n").alias("n")).toPandas()
     others = others.assign(key=[tuple(x) for x in others["features"]]).sort_values("key", kind="stable")
     x = np.zeros((len(rows) + len(others), len(keys)), np.float32)
     for i, t in enumerate(rows):
@@ -288,7 +287,6 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id",
 
     A null text or one without such a paragraph has an empty array; repeated rows are each scanned; whole texts are read.
     """
-    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = "array<struct<paragraph:int,family:string,probability:double,containment:double,confirmed:boolean>>"
     arrow = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("containment", pa.float64()), ("confirmed", pa.bool_())]))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwind.llm import kernel as K
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 from headwind.session import materialize
 
 #: Weights of the sources in order, repeated; words to take over all words; most takes of a document.
@@ -147,10 +147,9 @@ def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source of its own; a source without words has target 0 and is not taken. A draw depends on seed, doc_id and row_hash
     alone, so a rerun agrees; repeated rows are each drawn and interchangeable. An empty table gives no rows.
     """
-    ship(docs.sparkSession)
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.xxhash64(*hashed).alias("row_hash"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("text"))
-    sized = materialize(own.mapInArrow(_sizes, "doc_id bigint, row_hash bigint, source string, size bigint"), "mixing-sizes")
+    sized = materialize(mapped(own, _sizes, "doc_id bigint, row_hash bigint, source string, size bigint"), "mixing-sizes")
     targets = materialize(source_targets(sized, weights, share, most), "mixing-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # Rates that rounding leaves next to a whole number are that number.

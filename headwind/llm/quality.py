@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from headwind.llm import kernel as K
 from headwind.llm.folds import bounded_sample, fold
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 from headwind.session import materialize
 
 #: Labelled rows to learn from at most, pairs drawn from them, and the weight of the squared weights.
@@ -134,7 +134,6 @@ def train_pairwise(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: floa
 
 def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, features array<double>) of every row of docs."""
-    ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -144,7 +143,7 @@ def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "features"])
 
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, features array<double>")
+    return mapped(own, run, "doc_id bigint, features array<double>")
 
 
 def fit_quality(features: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, most_rows: int = MOST_ROWS) -> PairwiseModel:
@@ -168,7 +167,7 @@ def score_features(features: DataFrame, model: PairwiseModel) -> DataFrame:
             x = np.array(batch.column(1).flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x), pa.float64())], names=["doc_id", "score"])
 
-    return features.mapInArrow(run, "doc_id bigint, score double")
+    return mapped(features, run, "doc_id bigint, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -188,12 +187,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the documents whose score is below 0.5, with the columns of docs."""
     model = fit_quality(feature_table(docs), labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches):
         for batch in batches:
-            parts = [shared.value.score(text_features(data, offs)) for _, _, data, offs in K.text_batches(batch.column(1))]
+            parts = [shared.value.score(text_features(data, offs)) for _, _, data, offs in K.text_batches(batch.column(0).field("text"))]
             good = (np.concatenate(parts) if parts else np.zeros(0)) >= 0.5
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(good))
 
-    return nested.mapInArrow(run, f"row {nested.schema['row'].dataType.simpleString()}").select("row.*")
+    return mapped(nested, run, f"row {nested.schema['row'].dataType.simpleString()}").select("row.*")

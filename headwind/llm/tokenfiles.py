@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from headwind.llm import kernel as K
 from headwind.llm.eliasfano import EliasFano
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 from headwind.session import new_path
 
 MAGIC = b"HWTOKEF1"
 _HEAD = struct.Struct("<QQQQq")
 #: Ids after which a task begins another shard; words that an encoder remembers, and keeps when it has too many.
-SHARD_IDS, REMEMBERED, KEPT = 1 << 23, 900_000, 450_000
+SHARD_IDS, REMEMBERED, KEPT = 1 << 22, 450_000, 200_000
 END_ID = 1
 
 
@@ -205,6 +205,8 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str
             if sum(map(len, ids)) >= shard_ids:
                 close()
     close()
+    if len(own.numbers) > KEPT:
+        own._forget()  # the worker may go on to other tasks
     yield pa.RecordBatch.from_pydict({k: [x[i] for x in done] for i, k in enumerate(("part", "turn", "file", "docs", "ids"))}, schema=pa.schema([("part", pa.int32()), ("turn", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
 
@@ -217,14 +219,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     text.
     """
     spark = docs.sparkSession
-    ship(spark)
     folder = folder or new_path(spark, "token-files")
     files, base = _open(folder)
     files.create_dir(base, recursive=True)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ordered = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = ordered.mapInArrow(lambda it: _write_shards(it, folder, tokenizer, end_id, shard_ids), "part int, turn int, file string, docs bigint, ids bigint").collect()
+    shards = mapped(ordered, lambda it: _write_shards(it, folder, tokenizer, end_id, shard_ids), "part int, turn int, file string, docs bigint, ids bigint").collect()
     index, before = [], 0
     for s in sorted(shards):
         index.append({"file": s["file"], "docs": s["docs"], "ids": s["ids"], "before": before})
@@ -249,10 +250,9 @@ def _read_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a data set, from its files."""
-    ship(spark)
     files, base = _open(folder)
     with files.open_input_stream(f"{base}/index.json") as source:
         shards = json.loads(source.read())["shards"]
     rows = [(s["file"], s["before"]) for s in shards]
     listed = spark.createDataFrame(rows, "file string, before bigint").repartition(max(1, min(len(rows), 10_000)))
-    return listed.mapInArrow(lambda it: _read_shards(it, folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return mapped(listed, lambda it: _read_shards(it, folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

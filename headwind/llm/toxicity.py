@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from headwind.llm import kernel as K
 from headwind.llm import letters as L
 from headwind.llm.folds import fold
-from headwind.llm.workers import ship
+from headwind.llm.workers import mapped
 from headwind.session import materialize
 
 #: Labelled rows of each label to learn from at most; features chosen; least toxic documents a feature must be in.
@@ -67,7 +67,6 @@ class LetterModel:
 
 def train_letters(docs: DataFrame, text: str = "text") -> LetterModel:
     """Counts of letters with their neighbours in all documents. What reaches the driver is bounded by the buckets."""
-    ship(docs.sparkSession)
 
     def run(batches):
         counts = {k: np.zeros(1 << _BITS, np.int64) for k in range(3)}
@@ -88,7 +87,7 @@ def train_letters(docs: DataFrame, text: str = "text") -> LetterModel:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), k, np.int32)), pa.array(met.astype(np.int32)), pa.array(c[met])], names=["k", "bucket", "n"])
 
     own = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
-    rows = own.mapInArrow(run, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(own, run, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
     tables = []
     for k in (1, 2, 0):
         table = np.zeros(1 << _BITS)
@@ -339,7 +338,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
             yes = np.bincount(index, label, minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(yes), pa.array(np.bincount(index, minlength=len(keys)) - yes)], names=["feature", "yes", "no"])
 
-    df = rows.mapInArrow(counted, "feature bigint, yes bigint, no bigint").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    df = mapped(rows, counted, "feature bigint, yes bigint, no bigint").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     m1, m0 = min(n1, most_rows), min(n0, most_rows)
     p, q = (F.col("yes") + 0.5) / (m1 + 1.0), (F.col("no") + 0.5) / (m0 + 1.0)
     odds = F.log(p / (1 - p + 1e-9)) - F.log(q / (1 - q + 1e-9))
@@ -360,7 +359,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(features.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["doc_id", "label", "features"])
 
-    table = rows.mapInArrow(met, "doc_id bigint, label int, features array<int>").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    table = mapped(rows, met, "doc_id bigint, label int, features array<int>").toPandas().sort_values(["doc_id", "label"], kind="stable")
     x = np.zeros((len(table), len(keys)), np.float32)
     for i, f in enumerate(table["features"]):
         x[i, f] = 1.0
@@ -383,5 +382,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", pa
             scores = [model.value.score(*restorer.restore(data, offs)) for _, _, data, offs in K.text_batches(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "score"])
 
-    scored = own.mapInArrow(run, "doc_id bigint, score double")
+    scored = mapped(own, run, "doc_id bigint, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
