@@ -9,6 +9,7 @@ meet in further rounds of blocks, and the block that is its source's only one en
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,33 +65,49 @@ def _move(p: list[float], at: list[int], u: tuple[float, ...], draw: float) -> N
 
 
 def landing(p: np.ndarray, size: np.ndarray, draw: np.ndarray, words: float) -> np.ndarray:
-    """Close what flight leaves, with the sum of p * size near words.
+    """Close the at most two units that flight leaves open, with the sum of p * size near words.
 
-    The open units are closed with the words kept as long as two are open, and the last is drawn. That leaves an error of
-    up to one unit, which may be a large one; it is then made smaller by the unit whose change brings the sum nearest, as
-    long as one does.
+    Each way of closing them is tried. It leaves an error of up to one unit, which may be a large one; that is made smaller
+    by changing the one or two units that bring the sum nearest, as long as some do. The way that ends nearest is taken;
+    of equal ones the one that the draws favour.
     """
-    p, at = p.astype(float).tolist(), []
-    for k in range(len(p)):
-        if not 0.0 < p[k] < 1.0:
-            continue
-        at.append(k)
-        if len(at) == 2:
-            a, b = at
-            u = (float(size[b]), -float(size[a])) if size[a] or size[b] else (1.0, -1.0)
-            _move(p, at, u, float(draw[k]))
-    for k in at:
-        p[k] = 1.0 if draw[k] < p[k] else 0.0
-    p = np.array(p)
-    over = float((p * size).sum() - words)
-    for _ in range(len(p)):
-        change = np.where(p == 1.0, -size, size)
-        k = int(np.argmin(np.abs(over + change)))
-        if not abs(over + change[k]) < abs(over) - _EPS:
-            break
-        over += float(change[k])
-        p[k] = 1.0 - p[k]
-    return p
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    best, left = np.round(p), np.inf
+    ways = itertools.product(*[(1.0, 0.0) if draw[k] < p[k] else (0.0, 1.0) for k in open_])
+    for way in ways:
+        now = p.astype(float).copy()
+        now[open_] = way
+        over = float((now * size).sum() - words)
+        for _ in range(len(now)):
+            units = _nearest_change(np.where(now == 1.0, -size, size).astype(float), over)
+            if not len(units):
+                break
+            over += float(np.where(now == 1.0, -size, size)[units].sum())
+            now[units] = 1.0 - now[units]
+        if abs(over) < left - _EPS:
+            best, left = now, abs(over)
+    return best
+
+
+def _nearest_change(change: np.ndarray, over: float) -> np.ndarray:
+    """The one or two units whose change brings over nearest to 0; none if that isn't nearer than it is."""
+    if not len(change):
+        return np.zeros(0, np.int64)
+    best, units = abs(over) - _EPS, np.zeros(0, np.int64)
+    k = int(np.argmin(np.abs(over + change)))
+    if abs(over + change[k]) < best:
+        best, units = abs(over + change[k]), np.array([k])
+    order = np.argsort(change, kind="stable")
+    ranked = change[order]
+    place = np.searchsorted(ranked, -(over + ranked))
+    for shift in (-1, 0):
+        other = np.clip(place + shift, 0, len(ranked) - 1)
+        left = np.abs(over + ranked + ranked[other])
+        left[other == np.arange(len(ranked))] = np.inf
+        i = int(np.argmin(left))
+        if left[i] < best:
+            best, units = left[i], order[[i, other[i]]]
+    return units
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
