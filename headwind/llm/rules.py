@@ -95,9 +95,10 @@ def fences(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     packed = levels.select("level", "lang", "source", (F.col("n") >= least_group).alias("enough"), values.alias("v"))
     own = packed.where("level = 0")
     tongue = packed.where("level = 1").select(F.col("lang").alias("lang1"), F.when(F.col("enough"), F.col("v")).alias("v1"))
-    whole = packed.where("level = 3").select(F.lit(0).alias("level3"), F.col("v").alias("v3"))
-    chosen = own.join(tongue, F.col("lang").eqNullSafe(F.col("lang1")), "left").join(whole, F.col("level") == F.col("level3"), "left")
-    return chosen.select("lang", "source", F.coalesce(F.when(F.col("enough"), F.col("v")), "v1", "v3").alias("v")).select("lang", "source", "v.*")
+    whole = packed.where("level = 3").select("v.*").first()  # one row
+    every = F.struct(*[F.lit(whole[c] if whole else None).cast(packed.schema["v"].dataType[c].dataType).alias(c) for c in packed.schema["v"].dataType.names])
+    chosen = own.join(tongue, F.col("lang").eqNullSafe(F.col("lang1")), "left")
+    return chosen.select("lang", "source", F.coalesce(F.when(F.col("enough"), F.col("v")), F.col("v1"), every).alias("v")).select("lang", "source", "v.*")
 
 
 def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_group: int = LEAST_GROUP) -> DataFrame:
@@ -111,7 +112,7 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     keep = {"doc_id": F.col(f"`{doc_id}`"), "lang": F.col(f"`{lang}`").cast("string"), "source": F.col(f"`{source}`").cast("string")}
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     counted = materialize(text_counts(docs, keep, text).withColumn("base_failed", failed), "rules-counts")
-    limits = fences(sketches(counted.where("not base_failed")), least_group)
+    limits = fences(materialize(sketches(counted.where("not base_failed")), "rules-sketches"), least_group)
     limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     room = F.sqrt(F.greatest(F.lit(1.0), F.col("words") / F.col("n_words")))

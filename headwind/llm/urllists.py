@@ -63,10 +63,11 @@ def judge_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fe
     once = rows.select("url", "day").where("url is not null and day is not null").distinct()
     keys = once.select("url", "day", F.trunc("day", "month").alias("month"), F.explode(covering_patterns(F.col("url"), segments)).alias("key"))
     # Only months in which something was fetched need entries.
-    span = once.agg(F.trunc(F.min("day"), "month").alias("lo"), F.max("day").alias("hi"), F.lit(1).alias("one"))
-    spells = validity(entries).withColumn("one", F.lit(1)).join(span, "one").where("since <= hi and (until is null or until > lo)")
-    last = F.least(F.col("hi"), F.coalesce(F.date_sub("until", 1), F.col("hi")))
-    spells = spells.withColumn("month", F.explode(F.sequence(F.trunc(F.greatest("since", "lo"), "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
+    lo, hi = once.agg(F.min("day"), F.max("day")).first()
+    lo, hi = (F.lit(x).cast("date") for x in (lo and lo.replace(day=1), hi))
+    spells = validity(entries).where((F.col("since") <= hi) & (F.col("until").isNull() | (F.col("until") > lo)))
+    last = F.least(hi, F.coalesce(F.date_sub("until", 1), hi))
+    spells = spells.withColumn("month", F.explode(F.sequence(F.trunc(F.greatest(F.col("since"), lo), "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
     spells = spells.select(F.col("pattern").alias("key"), "month", "list", "since", "until")
     active = keys.join(spells, ["key", "month"]).where("since <= day and (until is null or day < until)")
     best = F.min(F.struct((-F.length("key")).alias("short"), "list", "key", "since"))
