@@ -170,3 +170,16 @@ def delay_station(stops: DataFrame) -> DataFrame:
 def ordered_board(page: DataFrame, destination: str = "destination") -> DataFrame:
     """page by minute, then line and destination in language order."""
     return page.orderBy("anchor", "clock", F.collate("line", "UNICODE"), F.collate(F.col(destination).cast("string"), "UNICODE"))
+
+
+def roll_over(page: DataFrame, anchors: DataFrame, later: bool = True) -> DataFrame:
+    """The anchors to ask instead where a page is empty: the neighbouring day, a day's minutes on or back, not below 0."""
+    step = 1 if later else -1
+    empty = anchors.join(page.select("anchor").distinct(), "anchor", "left_anti")
+    at = F.greatest(F.lit(0), F.col("at") - step * DAY)
+    return empty.withColumns({"query_day": F.pmod(F.col("query_day") + step, F.lit(7)).cast("int"), "at": at.cast("int")})
+
+
+def scope_for(wanted: str | None, offered: list[str]) -> str:
+    """The scope that a board shows: the one picked if it is offered, else the finest that is."""
+    return wanted if wanted in offered else next((s for s in SCOPES if s in offered), SCOPES[0])

@@ -78,3 +78,11 @@ def past_midnight(stop_times: DataFrame) -> DataFrame:
 def feed_stations(stops: DataFrame) -> DataFrame:
     """(bpuic): the station numbers that a feed's stop ids begin with."""
     return stops.select(names.station_of_stop(F.col("stop_id")).cast("int").alias("bpuic")).where("bpuic is not null").distinct()
+
+
+def build_totals(routes: DataFrame, stop_times: DataFrame) -> dict[str, int]:
+    """Routes read and renamed; trips and patterns past midnight."""
+    read = renamed_routes(routes).agg(F.count("*"), F.count_if("renamed")).first()
+    late = past_midnight(stop_times)
+    trips = late.select("day_type", "trip").distinct().count()
+    return {"routes": read[0], "renamed": read[1], "late_trips": trips, "late_patterns": patterns(late).count()}
