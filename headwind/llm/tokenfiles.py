@@ -12,6 +12,7 @@ of successful tasks get into index.json, so a lost or repeated task leaves nothi
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
@@ -32,8 +33,9 @@ from headwind.session import new_path
 
 MAGIC = b"HWTOKEF1"
 _HEAD = struct.Struct("<QQQQq")
-#: Ids after which a task begins another shard; words that an encoder remembers, and keeps when it has too many.
-SHARD_IDS, REMEMBERED, KEPT = 1 << 22, 450_000, 200_000
+#: Ids after which a task begins another shard; words that an encoder remembers: the first ones that it meets, as
+#: frequent words come early.
+SHARD_IDS, REMEMBERED = 1 << 22, 1_000_000
 END_ID = 1
 
 
@@ -61,51 +63,100 @@ class Encoder:
         plain = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
         splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
         self.by_word = plain and splits and first["pattern"].get("Regex") == _WORDS and folds == ["NFC", "Replace", "Lowercase"]
-        self.pending: list[str] = []
-        self.numbers = _Numbers(self.pending)
-        self.at, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
-
-    def _forget(self) -> None:
-        """Keep the words met first: frequent words are met early."""
-        kept = _Numbers(self.pending)
-        kept.update(zip(self.numbers, range(KEPT)))
-        self.numbers, self.at = kept, self.at[: KEPT + 1].copy()
-        self.used = int(self.at[-1])
-
-    def _learn(self) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.pending, add_special_tokens=False)]
-        self.pending.clear()
+        self.table = WordTable(REMEMBERED)
+        self.at, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of texts by the tokenizer itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(counts.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.at = np.concatenate([self.at, self.used + np.cumsum(counts)])
-        self.used += total
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of a batch's documents, one after another."""
         raw = data.tobytes()
         if not self.by_word or b"<|" in raw:
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
-        if len(self.numbers) > REMEMBERED:
-            self._forget()
+            return self._encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])
         plain = _PLAIN[data]
         letter, mark = _LETTER[plain], _MARK[plain]
-        cuts = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
-        cuts = np.union1d(cuts, offs[1:-1])
+        cuts = np.union1d(np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1, offs[1:-1])
         spaced = np.insert(plain, cuts, 0x20)
-        words = list(filter(None, spaced.tobytes().decode("utf-8", "replace").split(" ")))
-        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if self.pending:
-            self._learn()
-        counts = self.at[numbers + 1] - self.at[numbers]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.at[numbers] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        _, _, at = K.spans(spaced, offs + np.searchsorted(cuts, offs), _INK)
-        return ids, K.segment_sum(counts, at)
+        starts, ends, at = K.spans(spaced, offs + np.searchsorted(cuts, offs), _INK)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        keys, checks = K.word_hashes(spaced, starts, ends, None), word_checks(spaced, starts, ends)
+        numbers = self.table.find(keys, checks)
+        # Words not met before: each once, in the order of the batch.
+        new = np.flatnonzero(numbers < 0)
+        _, first, index = np.unique(np.rec.fromarrays([keys[new], checks[new]]), return_index=True, return_inverse=True)
+        first = new[first]
+        text = spaced.tobytes()
+        ids, counts = self._encoded([text[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        known = self.table.used
+        self._write(known, ids, counts)
+        numbers[new] = known + index
+        if known + len(first) <= REMEMBERED:
+            self.table.add(keys[first], checks[first])
+        sizes = self.at[numbers + 1] - self.at[numbers]
+        past = np.cumsum(sizes)
+        out = self.flat[np.repeat(self.at[numbers] - past + sizes, sizes) + np.arange(int(past[-1]))]
+        return out, K.segment_sum(sizes, at)
+
+    def _write(self, known: int, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Put words' ids behind those of the known words; they stay there if the words become known."""
+        end = int(self.at[known])
+        while end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while known + len(counts) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[end : end + len(ids)] = ids
+        self.at[known + 1 : known + 1 + len(counts)] = end + np.cumsum(counts)
+
+
+def word_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Length, first, middle and last byte of words, beside their hash, so that a chance hit of the hash is no hit."""
+    parts = [np.minimum(ends - starts, 255), data[starts], data[(starts + ends) >> 1], data[ends - 1]]
+    out = np.zeros(len(starts), np.uint32)
+    for part in parts:
+        out = (out << np.uint32(8)) | part.astype(np.uint32)
+    return out
+
+
+class WordTable:
+    """Numbers words by hash and check, in the order in which they are added: a table with open addressing, in arrays."""
+
+    def __init__(self, most: int):
+        self.bits = max(4, int(2 * most - 1).bit_length())
+        self.keys, self.checks = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint32)
+        self.numbers, self.used = np.full(1 << self.bits, -1, np.int32), 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those that aren't there."""
+        out, at = np.full(len(keys), -1, np.int64), self._home(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            number = self.numbers[at]
+            hit = (number >= 0) & (self.keys[at] == keys[left]) & (self.checks[at] == checks[left])
+            out[left[hit]] = number[hit]
+            on = (number >= 0) & ~hit
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Number words that aren't there; each must come once."""
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.numbers[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.checks[at[put]], self.numbers[at[put]] = keys[left[put]], checks[left[put]], self.used + left[put]
+            on = np.ones(len(left), bool)
+            on[put] = False
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        self.used += len(keys)
 
 
 #: What leaves the ids alone, as the tokenizer drops white space and case and splits letters from marks: line ends as
@@ -117,18 +168,6 @@ _MARK = K._class(bytes([*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x4
 _INK = ~K._class(b" ")
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are met, and notes the new ones."""
-
-    def __init__(self, pending: list[str]):
-        self.pending = pending
-
-    def __missing__(self, word: str) -> int:
-        self.pending.append(word)
-        self[word] = number = len(self)
-        return number
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -205,8 +244,6 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str
             if sum(map(len, ids)) >= shard_ids:
                 close()
     close()
-    if len(own.numbers) > KEPT:
-        own._forget()  # the worker may go on to other tasks
     yield pa.RecordBatch.from_pydict({k: [x[i] for x in done] for i, k in enumerate(("part", "turn", "file", "docs", "ids"))}, schema=pa.schema([("part", pa.int32()), ("turn", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
 
