@@ -229,7 +229,15 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
+def leaks(runs: Column, n_hit: Column, n_words: Column) -> Column:
+    """A whole window of an item occurs, or shorter items make up a twentieth of the words."""
+    return F.exists(runs, lambda r: r["past"] - r["first"] >= WINDOW) | contaminated(n_hit, n_words)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the contaminated documents, with the columns of docs."""
+    """docs without the documents that leak benchmark items, with the columns of docs.
+
+    This is stricter than contaminated(): WINDOW consecutive words of an item are a leak in a text of any length.
+    """
     found = find_benchmark_words(docs, benchmark, text)
-    return found.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
+    return found.where(~leaks(F.col("runs"), F.col("n_hit"), F.col("n_words"))).select("row.*")

@@ -156,7 +156,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 #: Rates, fences and sketch buckets as in rules.py, spelled out: the lower edge of 32 buckets to each power of two.
 _RATES = {"wl": "100 * word_chars // n_words", "sy": "1000 * n_symbols // word_chars", "du": "1000 * n_dup_lines // n_lines", "re": "1000 * n_repeat_words // n_words"}
-_SPREADS = {"wl": (6, 20), "sy": (3, 6), "du": (3, 100), "re": (3, 50)}
+_SPREADS = {"wl": (6, 20), "sy": (3, 6), "du": (3, 200), "re": (3, 100)}
 
 
 def _edge(v: str) -> str:

@@ -25,8 +25,8 @@ LEAST_GROUP = 200
 RATES = {
     "word_length": ("100 * word_chars div n_words", 6, 20, True),
     "symbols": ("1000 * n_symbols div word_chars", 3, 6, False),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 3, 100, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 3, 50, False),
+    "dup_lines": ("1000 * n_dup_lines div n_lines", 3, 200, False),
+    "repeats": ("1000 * n_repeat_words div n_words", 3, 100, False),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
