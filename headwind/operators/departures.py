@@ -22,9 +22,12 @@ def boardable(stop_times: DataFrame) -> DataFrame:
 
     stop_times: day_type, trip, seq, n_stops, stop, line, dep. Of rows alike in day_type, trip and seq one stays.
     """
-    trip = Window.partitionBy("day_type", "trip").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = stop_times.dropDuplicates(["day_type", "trip", "seq"]).withColumn("destination", F.last("stop").over(trip))
-    return ends.where(F.col("seq") < F.col("n_stops"))
+    # One exchange: repeated rows and the destination are both seen within a trip in order.
+    trip = Window.partitionBy("day_type", "trip").orderBy("seq", "stop")
+    whole = trip.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = stop_times.withColumns({"before": F.lag("seq").over(trip), "destination": F.last("stop").over(whole)})
+    once = F.col("before").isNull() | (F.col("before") != F.col("seq"))
+    return seen.where(once & (F.col("seq") < F.col("n_stops"))).drop("before")
 
 
 def segments(board: DataFrame) -> DataFrame:
