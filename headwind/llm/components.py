@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from headwind.session import materialize
 
+#: Parts into which the edges that lead to one vertex are dealt.
+SALTS = 16
+
 
 def connected_components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, root): for each vertex of edges (u, v) the smallest vertex of its component.
@@ -22,10 +25,11 @@ def connected_components(edges: DataFrame, tag: str = "components", most_rounds:
     now = materialize(given, tag)
     loops, now_edges = now.where("u = v"), now.where("u > v")
     for _ in range(most_rounds):
-        # Large star: the larger neighbours of each vertex are linked to the least of its neighbourhood.
-        both = now_edges.unionByName(now_edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        # Large star: an edge to a vertex goes to the least of that vertex's neighbourhood instead. A vertex that many
+        # edges lead to is salted; it has one least neighbour, so only that row is repeated.
+        least = now_edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
+        salted = now_edges.withColumn("own_salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        large = salted.join(least, (F.col("v") == F.col("x")) & (F.col("own_salt") == F.col("salt")), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Small star: a vertex and its smaller neighbours are linked to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))

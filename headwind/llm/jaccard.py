@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = materialize(signatures(own, "doc_id bigint, text_hash bigint", k, bands, rows), "jaccard-signatures")
     worded = signed.where("n_words > 0")
     # One text of each class goes on: the least row, so that the same one is found again below.
-    classes = worded.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least_row"), F.count("*").alias("weight"), F.min("n_words").alias("n_words"), F.min("bands").alias("bands"))
+    classes = worded.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least_row"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.min("n_words").alias("n_words"), F.min("bands").alias("bands"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     in_bands = classes.select("cid", F.posexplode("bands").alias("band", "hash"))
     buckets = in_bands.groupBy("band", "hash").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = connected_components(links, "jaccard-linked").select(F.col("node").alias("cid"), "root")
     linked = classes.drop("bands", "n_words").join(partners, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     linked = materialize(linked, "jaccard-roots")
-    firsts = linked.groupBy("root").agg(F.min("least_row").alias("class_first"), F.min("least_row.doc_id").alias("class_id"))
+    firsts = linked.groupBy("root").agg(F.min("least_row").alias("class_first"), F.min("least_id").alias("class_id"))
     found = linked.join(firsts, "root").select("d1", "d2", F.col("weight").alias("copies"), (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), "class_first", "class_id")
     return (
         signed.drop("bands")
