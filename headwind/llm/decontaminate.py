@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from headwind.llm import kernel as K
 from headwind.llm.workers import mapped
+from headwind.session import materialize
 
 WINDOW, GRAM = 13, 5
 #: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _BITS = 18
 
 RESULT = "n_words bigint, n_hit bigint, item_ids array<string>, runs array<struct<first:int,past:int>>"
@@ -194,10 +195,12 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     keyed = source.withColumn("key", F.struct(F.xxhash64(own).alias("a"), F.sha2(F.coalesce(own, F.lit("")), 256).alias("b")))
     texts = keyed.select("key", own.alias("text"))
     key = f"key {texts.schema['key'].dataType.simpleString()}"
-    parts = [_matched(texts, index(b), key).where("n_hit > 0") for b in range(blocks)]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    union = None
+    for b in range(blocks):
+        own_index = index(b)
+        part = materialize(_matched(texts, own_index, key).where("n_hit > 0"), "benchmark-hits")
+        own_index.destroy()  # one block at a time, on the driver too
+        union = part if union is None else union.unionByName(part)
     merged = (
         union.groupBy("key")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"))

@@ -1,6 +1,10 @@
 import random
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("steady", deadline=None, derandomize=True)
+settings.load_profile("steady")
 
 SF = "/root/testdata/sf0.001"
 _WORDS = {
