@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,7 @@ SETTINGS = {
 }
 
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def build_session(app: str = "headwind", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,19 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="headwind-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path below shared_dir() that nothing else uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what new_path() gave out, once no DataFrame needs it any more; returns how many paths there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet below shared_dir() and read it back.
 
     This cuts the lineage: a lost executor costs the tasks at hand, not the whole history. The files stay
-    until the folder is cleared.
+    until release().
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
