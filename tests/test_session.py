@@ -14,8 +14,8 @@ def test_tables_are_kept_until_released(spark):
 
 
 def test_the_named_folder_is_used(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    assert before is None and session.shared_dir(spark).startswith("file://")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.shared_dir(spark) == named.rstrip("/") if named else session.shared_dir(spark).startswith("file://")
 
 
 def test_settings(spark):
