@@ -322,13 +322,11 @@ def day_type_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day type that answers for each one asked for: itself if there is data, else the first that has; and whether
     statistics exist for it, which never fall back."""
     has = services.coverage_days(fx.observations(spark, sf_dir).where("service_day between DATE '2024-01-03' and DATE '2024-01-05'"))
-    there = has.agg(F.collect_set("delay_set").alias("sets"))
-    days = spark.range(7).select(F.col("id").cast("int").alias("asked"), F.lit(1).alias("one"))
-    names_ = F.array(*[F.lit(d) for d in calendar.DAY_TYPES])
-    rows = days.join(there.withColumn("one", F.lit(1)), "one").withColumn("name", calendar.day_type_name(F.col("asked")))
-    first = F.try_element_at(F.filter(names_, lambda d: F.array_contains("sets", d)), F.lit(1))
-    own = F.array_contains("sets", F.col("name"))
-    return rows.select("asked", F.when(own, F.col("name")).otherwise(first).alias("answers"), own.alias("statistics"))
+    sets = [r["delay_set"] for r in has.collect()]  # ten at most
+    days = spark.range(7).select(F.col("id").cast("int").alias("asked"), calendar.day_type_name(F.col("id").cast("int")).alias("name"))
+    first = next((d for d in calendar.DAY_TYPES if d in sets), None)
+    own = F.col("name").isin(sets)
+    return days.select("asked", F.when(own, F.col("name")).otherwise(F.lit(first)).alias("answers"), own.alias("statistics"))
 
 
 @query

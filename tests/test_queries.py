@@ -42,3 +42,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_nested_loops_and_no_python(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("NestedLoop", "Cartesian", "Python", "Pandas", "Arrow"))
