@@ -175,7 +175,7 @@ class LicenseModel:
             family = self.families[best[r]]
             own = _pairs(words[at[s] : at[s + 1]])
             share = max(len(own & x) / len(x) for x in self.notices[family])
-            paragraph = int(np.count_nonzero((ends >= offs[d]) & (ends < cuts[s] + 1)))
+            paragraph = int(np.searchsorted(ends, cuts[s], side="right") - np.searchsorted(ends, offs[d]))
             out[d].append({"paragraph": paragraph, "family": family, "probability": float(p[r, best[r]]), "containment": share, "confirmed": share >= CONFIRM})
         return out
 

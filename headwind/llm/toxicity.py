@@ -35,6 +35,8 @@ LOOKS_LIKE = {
 #: Costs, as negative logarithms: a letter for a sign that resembles it, nothing for a mark, for a sign that resembles a
 #: letter, or for a repetition, any vowel for a star, and a sign that stands for itself and so ends a word.
 SWAP, DROP, LOSE, REPEAT, STAR, STAY = 1.0, 0.5, 5.0, 0.3, 2.0, 10.0
+#: Signs that are decoded together; no word is as long.
+PIECE = 256
 
 _SIGNS = K._class(b"0123456789@$!|+(<")
 _LETTERS = K._class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
@@ -98,8 +100,10 @@ def train_letters(docs: DataFrame, text: str = "text") -> LetterModel:
 
 
 def decode(token: str, model: LetterModel) -> str:
-    """The likeliest reading of a token; parts that end a word are parted by blanks."""
+    """The likeliest reading of a token; parts that end a word are parted by blanks. Beyond PIECE signs it is read in pieces."""
     token = token.lower()
+    if len(token) > PIECE:
+        return "".join(decode(token[i : i + PIECE], model) for i in range(0, len(token), PIECE))
     # state: the last two letters; value: cost, reading, the letter whose repetition may be dropped
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for at, ch in enumerate(token):

@@ -350,3 +350,12 @@ def test_pipeline(spark, documents, labels, benchmark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter({d: n for d, n in times.items() if n})
     assert sorted(r["start"] for r in rows)[0] == 0 and sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
+
+
+def test_long_tokens_take_time_in_proportion():
+    import time
+
+    model = toxicity.LetterModel(*(np.full(1 << 18, 100.0) for _ in range(3)))
+    began = time.time()
+    data, offs = toxicity.Restorer(model).restore(*batch(["a " * 100_000, "x1" * 50_000]))
+    assert time.time() - began < 60 and len(offs) == 3 and data.tobytes().count(b"\n") == 2
