@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,6 +226,26 @@ class Restorer:
         return np.frombuffer(b"".join(pieces), np.uint8), np.array(ends, np.int64)
 
 
+def restored_texts(docs: DataFrame, letters: LetterModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep of every row of docs and `restored`: the text with its suspicious tokens decoded; null stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(letters)
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text_of_document"))
+
+    def run(batches):
+        restorer = Restorer(shared.value)
+        for batch in batches:
+            column, out = batch.column(batch.num_columns - 1), []
+            for _, _, data, offs in K.text_batches(column):
+                made, at = restorer.restore(data, offs)
+                raw = made.tobytes()
+                out += [raw[a : b - 1].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            kept = pc.if_else(pc.is_valid(column), pa.array(out, pa.string()), None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], kept], names=[*batch.schema.names[:-1], "restored"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-1])
+    return mapped(own, run, f"{schema}restored string")
+
+
 def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, documents) of words and of five-byte pieces of words, edges included, in restored texts."""
     starts, ends, at = K.spans(data, offs, K.ALNUM)

@@ -300,6 +300,12 @@ def test_restored_texts(spark):
     assert data.tobytes() == b"such an idiot, loser!\nplain text it's\n\n" and offs.tolist() == [0, 22, 38, 39]
 
 
+def test_restored_rows(spark):
+    model = toxicity.train_letters(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rows = spark.createDataFrame([(1, "what an 1d10t\nyes"), (2, None), (3, "")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["restored"] for r in toxicity.restored_texts(rows, model).collect()} == {1: "what an idiot\nyes", 2: None, 3: ""}
+
+
 def test_rules_against_plain_code(documents):
     for r in rules.apply_rules(documents).join(documents, "doc_id").collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", r["text"])
