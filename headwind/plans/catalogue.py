@@ -75,7 +75,7 @@ def service_stats_min_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def service_stats_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = fx.table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select((F.lit(fx.STATION) + F.col("s_suppkey")).cast("int").alias("bpuic"))
+    known = fx.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select((F.lit(fx.STATION) + F.col("s_suppkey")).cast("int").alias("bpuic"))
     return services.service_statistics(fx.observations(spark, sf_dir), stations=known)
 
 
@@ -221,7 +221,7 @@ def route_type_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str, times: tuple[int, ...]) -> DataFrame:
-    return board.candidates(board.boardable(fx.stop_times(spark, sf_dir)), fx.anchors(spark, times))
+    return board.candidates(board.boardable(fx.stop_times(spark, sf_dir)), fx.anchors(spark, sf_dir, times))
 
 
 _SHOWN = ("anchor", "query_day", "offset", "day_type", "trip", "seq", "stop", "line", "dep", "clock", "destination")
@@ -249,7 +249,7 @@ def next_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def earlier_with_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = board.earlier_with_tail(board.boardable(fx.stop_times(spark, sf_dir)), fx.anchors(spark, (300, 365, 500)))
+    made = board.earlier_with_tail(board.boardable(fx.stop_times(spark, sf_dir)), fx.anchors(spark, sf_dir, (300, 365, 500)))
     return made.select(*_SHOWN)
 
 
@@ -272,8 +272,8 @@ def page_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page from 12:00 adds to the page from 08:30, for the same stop and day."""
     spot = ["stop", "query_day"]
-    found = board.candidates(board.boardable(fx.stop_times(spark, sf_dir)), fx.anchors(spark, (510, 720)))
-    page = board.page_later(found).withColumn("anchor", F.pmod("anchor", F.lit(70)))
+    found = board.candidates(board.boardable(fx.stop_times(spark, sf_dir)), fx.anchors(spark, sf_dir, (510, 720)))
+    page = board.page_later(found).withColumn("anchor", F.floor(F.col("anchor") / 2).cast("int"))
     shown, fresh = page.where("at = 510"), page.where("at = 720")
     return board.fresh_rows(fresh, shown.select("anchor", "clock", "line", "destination").distinct()).select("anchor", *spot, "trip", "seq", "clock", "line", "destination")
 

@@ -39,7 +39,7 @@ def _offset():
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(service_day, bpuic, line, dep_min, day_offset, delay_s) from events: every hour's events are one planned minute."""
-    e = table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").cast("int") % 20 != 0)
+    e = table(spark, sf_dir, "events")
     return e.select(
         F.date_sub(F.col("ts").cast("date"), _offset()).alias("service_day"), (F.lit(STATION) + F.pmod("user_id", F.lit(5))).cast("int").alias("bpuic"), F.col("event_type").alias("line"),
         (F.hour("ts") * 60 + 30).cast("int").alias("dep_min"), _offset().cast("int").alias("day_offset"), (F.minute("ts") * 60 + F.second("ts") - 1800).cast("int").alias("delay_s"),
@@ -47,11 +47,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations at ten stations under line names that partly differ from those of the stop times."""
-    e = table(spark, sf_dir, "events").where(F.pmod("user_id", F.lit(3)) != F.col("event_id") % 3)
+    """Observations at a hundred stations under line names that partly differ from those of the stop times."""
+    e = table(spark, sf_dir, "events")
     names = F.create_map(*[x for k, v in EVENT_LINES.items() for x in (F.lit(k), F.lit(v))])
     return e.select(
-        F.date_sub(F.col("ts").cast("date"), _offset()).alias("service_day"), (F.lit(STATION) + F.pmod("user_id", F.lit(10))).cast("int").alias("bpuic"), F.element_at(names, F.col("event_type")).alias("line"),
+        F.date_sub(F.col("ts").cast("date"), _offset()).alias("service_day"), (F.lit(STATION) + F.pmod("user_id", F.lit(100))).cast("int").alias("bpuic"), F.element_at(names, F.col("event_type")).alias("line"),
         (F.hour("ts") * 60 + 30).cast("int").alias("dep_min"), _offset().cast("int").alias("day_offset"), (F.minute("ts") * 60 + F.second("ts") - 1800).cast("int").alias("delay_s"),
     )
 
@@ -69,11 +69,12 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("day_type", F.col("l_orderkey").alias("trip"), "seq", "n_stops", (F.lit(STATION) + F.col("l_suppkey")).cast("int").alias("stop"), line.alias("line"), dep.alias("dep"))
 
 
-def anchors(spark: SparkSession, times: tuple[int, ...], stops: int = 10, limit: int = 12) -> DataFrame:
-    """An anchor for each of the first stops, each day type and each time."""
-    n = stops * 7 * len(times)
-    at = F.element_at(F.array(*[F.lit(t) for t in times]), (F.floor(F.col("id") / (7 * stops)) + 1).cast("int"))
-    return spark.range(n).select(F.col("id").cast("int").alias("anchor"), (F.lit(STATION) + F.pmod("id", F.lit(stops))).cast("int").alias("stop"), F.pmod(F.floor(F.col("id") / stops), F.lit(7)).cast("int").alias("query_day"), at.alias("at"), F.lit(limit).alias("limit"))
+def anchors(spark: SparkSession, sf_dir: str, times: tuple[int, ...], limit: int = 12) -> DataFrame:
+    """An anchor for every stop, day type and time; those of one stop and day are numbered one after another."""
+    each = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("query_day"))
+    each = each.select("s_suppkey", "query_day", F.posexplode(F.array(*[F.lit(t) for t in times])).alias("turn", "at"))
+    number = ((F.col("s_suppkey") * 7 + F.col("query_day")) * len(times) + F.col("turn")).cast("int")
+    return each.select(number.alias("anchor"), (F.lit(STATION) + F.col("s_suppkey")).cast("int").alias("stop"), "query_day", "at", F.lit(limit).alias("limit"))
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,15 @@ _OBS = (
     _EVENTS
     + """,
 obs AS (SELECT CAST(ts AS DATE) - off AS service_day, CAST(8500000 + user_id % 5 AS INT) AS bpuic, event_type AS line, CAST(hour(ts) * 60 + 30 AS INT) AS dep_min,
-        CAST(off AS INT) AS day_offset, CAST(minute(ts) * 60 + second(ts) - 1800 AS INT) AS delay_s FROM e WHERE k % 20 <> 0)"""
+        CAST(off AS INT) AS day_offset, CAST(minute(ts) * 60 + second(ts) - 1800 AS INT) AS delay_s FROM e)"""
 )
 
 _MATCHED = (
     _EVENTS
     + """,
-obs AS (SELECT CAST(ts AS DATE) - off AS service_day, CAST(8500000 + user_id % 10 AS INT) AS bpuic,
+obs AS (SELECT CAST(ts AS DATE) - off AS service_day, CAST(8500000 + user_id % 100 AS INT) AS bpuic,
         CASE event_type WHEN 'view' THEN 'RE12' WHEN 'click' THEN 'RE' WHEN 'signup' THEN 'S3' WHEN 'error' THEN '9' ELSE 'IC' END AS line,
-        CAST(hour(ts) * 60 + 30 AS INT) AS dep_min, CAST(off AS INT) AS day_offset, CAST(minute(ts) * 60 + second(ts) - 1800 AS INT) AS delay_s FROM e WHERE user_id % 3 <> event_id % 3)"""
+        CAST(hour(ts) * 60 + 30 AS INT) AS dep_min, CAST(off AS INT) AS day_offset, CAST(minute(ts) * 60 + second(ts) - 1800 AS INT) AS delay_s FROM e)"""
 )
 
 #: Easter by the table-free rule of 1876 in its usual lettering, spelled out step by step.
@@ -91,7 +91,8 @@ def _board(times: tuple[int, ...], tail: str = "at_ < 360", limit: int = 12) ->
 ends AS (SELECT day_type, trip, stop AS destination FROM times WHERE seq = n_stops),
 dep0 AS (SELECT times.*, destination FROM times JOIN ends USING (day_type, trip) WHERE seq < n_stops),
 segs AS (SELECT *, day_type AS query_day, 0 AS "offset", dep AS clock FROM dep0 UNION ALL SELECT *, (day_type + 1) % 7, 1440, dep - 1440 FROM dep0 WHERE dep >= 1440),
-anchors AS (SELECT CAST(id AS INT) AS anchor, CAST(8500000 + id % 10 AS INT) AS stop, CAST((id // 10) % 7 AS INT) AS query_day, {list(times)}[id // 70 + 1] AS at_, {limit} AS "limit" FROM range({70 * len(times)}) AS t(id)),
+anchors AS (SELECT CAST((s_suppkey * 7 + d) * {len(times)} + i AS INT) AS anchor, CAST(8500000 + s_suppkey AS INT) AS stop, CAST(d AS INT) AS query_day, {list(times)}[i + 1] AS at_, {limit} AS "limit"
+            FROM supplier, range(0, 7) AS a(d), range(0, {len(times)}) AS b(i)),
 found AS (SELECT segs.*, anchor, at_, "limit" FROM segs JOIN anchors USING (stop, query_day) WHERE "offset" = 0 OR {tail})"""
 
 
@@ -184,7 +185,7 @@ def oracles() -> dict[str, str]:
         "service_stats_day": f"WITH {_stats(_OBS, 'day')} SELECT {_STATS_COLUMNS} FROM stats",
         "service_stats_sets": f"WITH {_stats(_OBS)} SELECT {_STATS_COLUMNS} FROM stats",
         "service_stats_min_samples": f"WITH {_stats(_OBS, min_samples=3)} SELECT {_STATS_COLUMNS} FROM stats",
-        "service_stats_allowed": f"WITH {_stats(_OBS)} SELECT {_STATS_COLUMNS} FROM stats WHERE bpuic IN (SELECT 8500000 + s_suppkey FROM supplier WHERE s_suppkey <= 3)",
+        "service_stats_allowed": f"WITH {_stats(_OBS)} SELECT {_STATS_COLUMNS} FROM stats WHERE bpuic IN (SELECT 8500000 + s_suppkey FROM supplier WHERE s_acctbal > 0)",
         "service_histogram_p10": f"WITH {_OBS} SELECT bpuic, line, count(*) AS samples, {_MEAN} AS avg_delay_s, {_BUFFER} AS catch_buffer_s FROM obs GROUP BY ALL",
         "order_delay_stats": f"WITH o AS (SELECT CAST(8500000 + l_suppkey % 10 AS INT) AS bpuic, l_returnflag || l_linestatus AS line, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS delay_s FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT bpuic, line, count(*) AS samples, {_MEAN} AS avg_delay_s, {_BUFFER} AS catch_buffer_s FROM o GROUP BY ALL",
         "ignored_lines": f"WITH {_OBS} SELECT line, count(*) AS n FROM obs WHERE line NOT IN (SELECT line FROM obs WHERE service_day < DATE '2024-01-15' AND line <> 'error') GROUP BY 1",
@@ -215,7 +216,7 @@ def oracles() -> dict[str, str]:
         "segment_selection": f'WITH {_board((15, 359, 360))} SELECT anchor, at_ AS "at", query_day, "offset", count(*) AS n, min(clock) AS first, max(clock) AS last FROM found GROUP BY ALL',
         "shared_minute": f"WITH {_board((15, 500))}, page AS ({_LATER}) SELECT anchor, trip, seq, clock, count(*) OVER (PARTITION BY anchor, clock) > 1 AS shared FROM page",
         "page_extremes": f"WITH {_board((30, 510))}, page AS ({_AROUND}) SELECT anchor, min(clock) AS earliest, max(clock) AS latest, count(*) AS n FROM page GROUP BY 1",
-        "page_dedupe": f"WITH {_board((510, 720))}, page AS (SELECT * REPLACE (anchor % 70 AS anchor) FROM ({_LATER})) SELECT CAST(anchor AS INT) AS anchor, stop, query_day, trip, seq, clock, line, destination FROM page AS f WHERE at_ = 720 AND NOT EXISTS (SELECT 1 FROM page AS s WHERE s.at_ = 510 AND s.anchor = f.anchor AND s.clock = f.clock AND s.line = f.line AND s.destination = f.destination)",
+        "page_dedupe": f"WITH {_board((510, 720))}, page AS (SELECT * REPLACE (anchor // 2 AS anchor) FROM ({_LATER})) SELECT CAST(anchor AS INT) AS anchor, stop, query_day, trip, seq, clock, line, destination FROM page AS f WHERE at_ = 720 AND NOT EXISTS (SELECT 1 FROM page AS s WHERE s.at_ = 510 AND s.anchor = f.anchor AND s.clock = f.clock AND s.line = f.line AND s.destination = f.destination)",
         "departures_with_delays": f'WITH {_enriched()} SELECT anchor, "offset", trip, seq, line, dep, clock, matched, catch_buffer_s, avg_delay_s, samples FROM rows WHERE scope = \'day\'',
         "departure_match_kind": f'WITH {_enriched()} SELECT kind, "offset", count(*) AS n FROM rows WHERE scope = \'group\' GROUP BY ALL',
         "departures_scopes": f'WITH {_enriched()} SELECT anchor, "offset", trip, seq, ' + ", ".join(f"max({c}) FILTER (scope = '{s}') AS {s}_{c}" for s in ("day", "group", "all") for c in ("kind", "catch_buffer_s", "samples")) + " FROM rows GROUP BY ALL",
