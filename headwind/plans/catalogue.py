@@ -75,7 +75,7 @@ def service_stats_min_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def service_stats_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = fx.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select((F.lit(fx.STATION) + F.col("s_suppkey")).cast("int").alias("bpuic"))
+    known = fx.table(spark, sf_dir, "supplier").where("s_acctbal > 4000").select((F.lit(fx.STATION) + F.col("s_suppkey")).cast("int").alias("bpuic"))
     return services.service_statistics(fx.observations(spark, sf_dir), stations=known)
 
 

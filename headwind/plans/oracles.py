@@ -185,7 +185,7 @@ def oracles() -> dict[str, str]:
         "service_stats_day": f"WITH {_stats(_OBS, 'day')} SELECT {_STATS_COLUMNS} FROM stats",
         "service_stats_sets": f"WITH {_stats(_OBS)} SELECT {_STATS_COLUMNS} FROM stats",
         "service_stats_min_samples": f"WITH {_stats(_OBS, min_samples=3)} SELECT {_STATS_COLUMNS} FROM stats",
-        "service_stats_allowed": f"WITH {_stats(_OBS)} SELECT {_STATS_COLUMNS} FROM stats WHERE bpuic IN (SELECT 8500000 + s_suppkey FROM supplier WHERE s_acctbal > 0)",
+        "service_stats_allowed": f"WITH {_stats(_OBS)} SELECT {_STATS_COLUMNS} FROM stats WHERE bpuic IN (SELECT 8500000 + s_suppkey FROM supplier WHERE s_acctbal > 4000)",
         "service_histogram_p10": f"WITH {_OBS} SELECT bpuic, line, count(*) AS samples, {_MEAN} AS avg_delay_s, {_BUFFER} AS catch_buffer_s FROM obs GROUP BY ALL",
         "order_delay_stats": f"WITH o AS (SELECT CAST(8500000 + l_suppkey % 10 AS INT) AS bpuic, l_returnflag || l_linestatus AS line, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS delay_s FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT bpuic, line, count(*) AS samples, {_MEAN} AS avg_delay_s, {_BUFFER} AS catch_buffer_s FROM o GROUP BY ALL",
         "ignored_lines": f"WITH {_OBS} SELECT line, count(*) AS n FROM obs WHERE line NOT IN (SELECT line FROM obs WHERE service_day < DATE '2024-01-15' AND line <> 'error') GROUP BY 1",
