@@ -36,7 +36,7 @@ MAGIC = b"HWTOKEF1"
 _HEAD = struct.Struct("<QQQQq")
 #: Ids after which a task begins another shard; words that an encoder remembers: the first ones that it meets, as
 #: frequent words come early.
-SHARD_IDS, REMEMBERED = 1 << 22, 1_000_000
+SHARD_IDS, REMEMBERED = 1 << 22, 500_000
 END_ID = 1
 
 
@@ -66,13 +66,14 @@ class Encoder:
         splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
         self.by_word = plain and splits and first["pattern"].get("Regex") == _WORDS and folds == ["NFC", "Replace", "Lowercase"]
         self.table = WordTable(REMEMBERED)
-        self.at, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.kind = np.uint16 if self.width == 2 else np.uint32
+        self.at, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of texts by the tokenizer itself."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+        return np.fromiter(itertools.chain.from_iterable(found), self.kind, int(counts.sum())), counts
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of a batch's documents, one after another."""
@@ -85,7 +86,7 @@ class Encoder:
         spaced = np.insert(plain, cuts, 0x20)
         starts, ends, at = K.spans(spaced, offs + np.searchsorted(cuts, offs), _INK)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(offs) - 1, np.int64)
         keys, checks = K.word_hashes(spaced, starts, ends, None), word_checks(spaced, starts, ends)
         numbers = self.table.find(keys, checks)
         # Words not met before: each once, in the order of the batch.
