@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation, then scoring of the restored text.
 
 A text's suspicious tokens - letters mixed with digits and marks, letters with marks between them, letters repeated
-three times or more, runs of single letters - become character lattices: each sign may stand for itself, for a letter
+three times or more, signs alone, runs of single letters and signs - become character lattices: each sign may stand for itself, for a letter
 that it resembles, or for nothing. Viterbi decoding under a character trigram model finds the likeliest letters. All
 other tokens have one reading and stay. The restored text is scored by logistic regression on the presence of words and
 of five-byte pieces of words that labelled documents show to be typical of toxic ones.
@@ -10,6 +10,7 @@ of five-byte pieces of words that labelled documents show to be typical of toxic
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,10 @@ SWAP, DROP, LOSE, REPEAT, STAR, STAY = 1.0, 0.5, 5.0, 0.3, 2.0, 10.0
 PIECE = 256
 
 _SIGNS = K._class(b"0123456789@$!|+(<")
+_MARKS = K._class(b"@$!|+(<")
+#: Letterless tokens that are numbers.
+_NUMBER = re.compile(r"[$+<|]*\d+[+!%|]*|\d*")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
 _LETTERS = K._class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
 
@@ -135,52 +140,107 @@ def decode(token: str, model: LetterModel) -> str:
     return min((cost + (model.cost(a, b, 0) if b else 0.0), text) for (a, b), (cost, text) in states.items())[1]
 
 
+def _brackets(data: np.ndarray, offs: np.ndarray) -> set[int]:
+    """Places of ( and < that are closed later in their document."""
+    closed: set[int] = set()
+    for left, right in ((0x28, 0x29), (0x3C, 0x3E)):
+        where = np.flatnonzero((data == left) | (data == right))
+        docs, stack, own = np.searchsorted(offs, where, side="right"), [], -1
+        for place, d, is_left in zip(where.tolist(), docs.tolist(), (data[where] == left).tolist()):
+            if d != own:
+                stack, own = [], d
+            if is_left:
+                stack.append(place)
+            elif stack:
+                closed.add(stack.pop())
+    return closed
+
+
+def _edge_signs(token: bytes, at: int, closed: set[int]) -> tuple[int, int]:
+    """How many bytes at the token's two ends are no part of its core: brackets, final !, a sign three times or more."""
+    lo, hi = 0, len(token)
+    while True:
+        ends = (lo, hi)
+        while lo < hi and at + lo in closed:
+            lo += 1
+        while lo < hi and (token[hi - 1] == 0x21 or at + hi - 1 in closed):
+            hi -= 1
+        for first, step in ((lo, 1), (hi - 1, -1)):
+            n = 0
+            while lo <= first + n * step < hi and token[first + n * step] == token[first] and _MARKS[token[first]]:
+                n += 1
+            if n >= 3:
+                lo, hi = (lo + n, hi) if step > 0 else (lo, hi - n)
+        if (lo, hi) == ends:
+            return lo, len(token) - hi
+
+
 def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(start, end, spaced) of tokens with more than one reading, in order; spaced: a run of single letters."""
+    """(start, end, spaced) of tokens with more than one reading, in order; spaced: a run of single letters and signs."""
     starts, ends, at = K.spans(data, offs, K.VISIBLE)
     if not len(starts):
         return []
-    plain = np.flatnonzero(K.ALNUM[data])
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(flags) + 1, np.int32)
+        np.cumsum(flags, out=sums[1:])
+        return sums
+
+    # The core of a token: from its first letter, digit or sign to its last, less signs that only decorate it.
+    marks, alnum = _MARKS[data], K.ALNUM[data]
+    plain = np.flatnonzero(alnum | marks)
     if not len(plain):
         return []
-    # The core of a token: from its first letter or digit, or a sign just before, to its last.
     i, j = np.searchsorted(plain, starts), np.searchsorted(plain, ends) - 1
     some = j >= i
     starts, ends, i, j = starts[some], ends[some], i[some], j[some]
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))[some]
     first, last = plain[i], plain[j] + 1
-    lead = (first > starts) & np.isin(data[np.maximum(first - 1, 0)], np.frombuffer(b"@$!|+", np.uint8))
-    first = first - lead
-    # One or two $ at the end may be letters; more are decoration.
-    tail = ends - last
-    last = last + np.where((tail <= 2) & (tail > 0) & (data[ends - 1] == 0x24) & (data[np.minimum(last, len(data) - 1)] == 0x24), tail, 0)
-
-    def count(flags: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(flags) + 1, np.int32)
-        np.cumsum(flags, out=sums[1:])
-        return sums
-
-    letters = count(_LETTERS[data])
-    letters = letters[last] - letters[first]
-    signs = count(_SIGNS[data])
-    signs = signs[last] - signs[first]
-    inner = last - first - (j - i + 1)
-    apostrophe = count((data == 0x27) | (data == 0x2D))
-    apostrophe = apostrophe[last] - apostrophe[first]
+    edged = np.flatnonzero((marks[first] | marks[last - 1]) & (last - first > 1))
+    closed = _brackets(data, offs) if len(edged) else set()
+    for k in edged.tolist():
+        a, b = int(first[k]), int(last[k])
+        less, cut = _edge_signs(data[a:b].tobytes(), a, closed)
+        first[k], last[k] = (a + less, b - cut) if less + cut < b - a else (a, a)
+    sums = count(alnum | marks)
+    inner = last - first - (sums[last] - sums[first])
+    sums = count(_LETTERS[data])
+    letters = sums[last] - sums[first]
+    # Signs of two and three bytes: inverted !, pound, euro; the first is punctuation where it begins a token.
+    after, third = np.append(data[1:], 0), np.append(data[2:], (0, 0))[: len(data)]
+    turned = (data == 0xC2) & (after == 0xA1)
+    foreign = turned | ((data == 0xC2) & (after == 0xA3)) | ((data == 0xE2) & (after == 0x82) & (third == 0xAC))
+    sums = count(_SIGNS[data] | foreign)
+    at_first = np.minimum(first, len(data) - 1)
+    signs = sums[last] - sums[first] - (turned[at_first] & (last > first))
+    sums = count((data == 0x27) | (data == 0x2D))
+    apostrophe = sums[last] - sums[first]
     low = K.LOWER[data]
     triple = np.zeros(len(data), bool)
     triple[: max(len(data) - 2, 0)] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTERS[data[2:]] & (data[2:] < 0x80)
-    triples = count(triple)
-    repeated = triples[np.maximum(last - 2, first)] > triples[first]
+    sums = count(triple)
+    repeated = sums[np.maximum(last - 2, first)] > sums[first]
     odd = (letters > 0) & ((signs > 0) | (inner > np.minimum(apostrophe, 1)) | repeated)
-    # Runs of three or more tokens of one letter within a document.
-    wide = count((data & 0xC0) != 0x80)
-    single = (wide[last] - wide[first] == 1) & (letters > 0)
+    # Letters of several bytes, three times over.
+    sums = count(data >= 0xC0)
+    for k in np.flatnonzero(~odd & (sums[last] - sums[first] >= 3)).tolist():
+        odd[k] = _TRIPLE.search(data[first[k] : last[k]].tobytes().decode("utf-8", "replace")) is not None
+    # Without a letter: three signs or more, of two kinds, that are no number.
+    sums = count(marks)
+    for k in np.flatnonzero((letters == 0) & (signs >= 3) & (sums[last] - sums[first] > 0)).tolist():
+        token = data[first[k] : last[k]].tobytes()
+        odd[k] = inner[k] == 0 and len(set(token)) > 1 and _NUMBER.fullmatch(token.decode()) is None
+    # Runs of three or more tokens of one letter or sign within a document, of which two and two in five are letters.
+    sums = count((data & 0xC0) != 0x80)
+    single = (sums[last] - sums[first] == 1) & ((letters > 0) | (signs > 0))
     joined = np.zeros(len(single), bool)
     joined[1:] = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
     begins = np.flatnonzero(single & ~joined)
     stops = np.flatnonzero(single & ~np.append(joined[1:], False))
-    out = [(int(first[a]), int(last[b]), True) for a, b in zip(begins, stops) if b - a >= 2]
+    sums = count(single & (letters > 0))
+    n = sums[stops + 1] - sums[begins]
+    runs = (stops - begins >= 2) & (n >= 2) & (5 * n >= 2 * (stops - begins + 1))
+    out = [(int(first[a]), int(last[b]), True) for a, b in zip(begins[runs], stops[runs])]
     out += [(int(first[k]), int(last[k]), False) for k in np.flatnonzero(odd & ~single)]
     return sorted(out)
 
@@ -194,7 +254,7 @@ class Restorer:
         self.model, self.known = model, {}
 
     def reading(self, token: str, spaced: bool) -> str:
-        key = token if not spaced else "".join(c for c in token if c.isalnum())
+        key = token if not spaced else "".join(c for t in token.split() for c in t if c.isalnum() or t in LOOKS_LIKE)
         found = self.known.get(key)
         if found is None:
             if len(self.known) >= self.MOST:

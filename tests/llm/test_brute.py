@@ -300,6 +300,21 @@ def test_restored_texts(spark):
     assert data.tobytes() == b"such an idiot, loser!\nplain text it's\n\n" and offs.tolist() == [0, 22, 38, 39]
 
 
+def test_obfuscations_reach_the_lattice(spark):
+    model = toxicity.train_letters(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    restorer = toxicity.Restorer(model)
+    read = lambda t: restorer.restore(*batch([t]))[0].tobytes().decode()[:-1]
+    for text, want in {"an i d 1 o t here": "an idiot here", "an idi0+, here": "an idiot, here", "put@ it": "puta it", "l 0 s e r": "loser"}.items():
+        assert read(text) == want, text
+    # A sign alone in a spaced run goes to the lattice; whether it is a letter is the letter model's choice.
+    assert read("an i d ! o t here") == f"an {toxicity.decode('id!ot', model)} here" and "id!ot" in restorer.known
+    taken = lambda t: [t.encode()[a:b].decode() for a, b, _ in toxicity.suspects(*batch([t]))]
+    for text, want in {"put@ it": ["put@"], "such (rap": ["(rap"], "an @$$hole": ["@$$hole"], "an @$$ it": ["@$$"], "a £oser": ["£oser"], "idiööööt": ["idiööööt"], "m$n(": ["m$n("]}.items():
+        assert taken(text) == want, text
+    for text in ("plain (see there) text!", "it costs $100 or 18+ of 2024!!!", "<b> ¡hola! wow!!! $$$", "1 2 3 4 5 6", "a (b) word"):
+        assert taken(text) == [] and read(text) == text, text
+
+
 def test_restored_rows(spark):
     model = toxicity.train_letters(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     rows = spark.createDataFrame([(1, "what an 1d10t\nyes"), (2, None), (3, "")], "doc_id bigint, text string")
