@@ -2,7 +2,7 @@
 
 Dated entries (list, pattern, day, action) become validity intervals, and each capture of a URL is joined as of its
 fetch time with the entries that were active then. A pattern is a domain, which covers its subdomains, or a host and the
-first segments of a path. Captures are joined by the patterns that could cover them and by month, so that neither a busy
+first segments of a path, however many; the case of a path counts. Captures are joined by the patterns that could cover them and by month, so that neither a busy
 host nor a long history meets in one task; rows of one URL and day are judged once.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Segments of a path that a pattern may have.
+#: Segments of the path prefixes that covering_patterns() makes unless told how deep the patterns are.
 SEGMENTS = 3
 
 
@@ -43,15 +43,17 @@ def validity(entries: DataFrame) -> DataFrame:
 
     Actions are `add` and `remove`; others and rows with a null are left out. Of one pattern's entries of one day a removal
     holds. An addition while active begins another interval; a removal while inactive does nothing. Intervals of one
-    list and pattern never overlap.
+    list and pattern never overlap. Hosts are lower-cased, paths are not.
     """
-    kept = entries.select(F.lower("list").alias("list"), F.rtrim(F.lower("pattern"), F.lit("/")).alias("pattern"), F.col("day").cast("date").alias("day"), (F.col("action") == "remove").cast("int").alias("off")).where("action in ('add', 'remove')").dropna()
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substring("pattern", F.length(host) + 1, F.length("pattern")))
+    kept = entries.select(F.lower("list").alias("list"), F.rtrim(pattern, F.lit("/")).alias("pattern"), F.col("day").cast("date").alias("day"), (F.col("action") == "remove").cast("int").alias("off")).where("action in ('add', 'remove')").dropna()
     daily = kept.groupBy("list", "pattern", "day").agg(F.max("off").alias("off"))
     following = F.lead("day").over(Window.partitionBy("list", "pattern").orderBy("day"))
     return daily.withColumn("until", following).where("off = 0").select("list", "pattern", F.col("day").alias("since"), "until")
 
 
-def judge_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched", segments: int = SEGMENTS) -> DataFrame:
+def judge_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """Every row of captures as the struct `row`, with blocked, n_active, list, pattern and since.
 
     n_active: entries that cover the URL and were active on the day of `fetched` (since <= day < until); list, pattern and
@@ -61,12 +63,14 @@ def judge_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fe
     """
     rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"), F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").cast("date").alias("day"))
     once = rows.select("url", "day").where("url is not null and day is not null").distinct()
-    keys = once.select("url", "day", F.trunc("day", "month").alias("month"), F.explode(covering_patterns(F.col("url"), segments)).alias("key"))
     # Only months in which something was fetched need entries.
     lo, hi = once.agg(F.min("day"), F.max("day")).first()
     lo, hi = (F.lit(x).cast("date") for x in (lo and lo.replace(day=1), hi))
     spells = validity(entries).where((F.col("since") <= hi) & (F.col("until").isNull() | (F.col("until") > lo)))
     last = F.least(hi, F.coalesce(F.date_sub("until", 1), hi))
+    # Prefixes go as deep as the deepest pattern.
+    segments = spells.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"))))).first()[0] or 0
+    keys = once.select("url", "day", F.trunc("day", "month").alias("month"), F.explode(covering_patterns(F.col("url"), segments)).alias("key"))
     spells = spells.withColumn("month", F.explode(F.sequence(F.trunc(F.greatest(F.col("since"), lo), "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
     spells = spells.select(F.col("pattern").alias("key"), "month", "list", "since", "until")
     active = keys.join(spells, ["key", "month"]).where("since <= day and (until is null or day < until)")

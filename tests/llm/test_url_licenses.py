@@ -32,6 +32,13 @@ def test_as_of(spark):
     assert [got[i] for i in range(len(urls))] == want
 
 
+def test_deep_and_mixed_case_paths(spark):
+    entries = [("a", "Example.com/a/b/c/d", date(2024, 1, 1), "add"), ("a", "Example.COM/Download", date(2024, 1, 1), "add"), ("b", "example.com/A/b/c/D/e/f/", date(2024, 1, 1), "add")]
+    urls = ["http://EXAMPLE.com/a/b/c/d/e", "http://example.com/a/b/c/D", "http://example.com/Download", "http://example.com/download", "http://example.com/A/b/c/D/e/f?q", "http://example.com/a/b/c"]
+    got = judged(spark, [(i, u, date(2024, 5, 1), "x", "y") for i, u in enumerate(urls)], entries)
+    assert [got[i][2] for i in range(len(urls))] == ["example.com/a/b/c/d", None, "example.com/Download", None, "example.com/A/b/c/D/e/f", None]
+
+
 def test_repeated_and_empty(spark):
     rows = [(1, "http://example.com/", date(2024, 5, 1), "x", "y")] * 3
     e = spark.createDataFrame([("s", "example.com", date(2024, 1, 1), "add")], "list string, pattern string, day date, action string")
