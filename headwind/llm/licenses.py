@@ -1,9 +1,10 @@
 """License scans by a trained paragraph classifier.
 
-Paragraphs (lines) are scored by multinomial logistic regression on the presence of word n-grams of license notices,
+Paragraphs (lines, and the stretch of consecutive lines over which a notice is wrapped) are scored by multinomial logistic regression on the presence of word n-grams of license notices,
 learned from variants of the notices and from paragraphs of the corpus, with a class for anything else. A temperature
 fitted on held-out variants calibrates the probabilities; a paragraph whose best license stays below the threshold is
-unknown. A prediction is confirmed by how many of the word pairs of one of the license's notices the paragraph has.
+unknown. A prediction is confirmed by how many of the word pairs of one of the license's notices the paragraph has; other
+licenses are named beside it if their notices are there as well, in pairs that the first ones do not account for.
 """
 
 from __future__ import annotations
@@ -136,6 +137,13 @@ class LicenseModel:
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> K.U64(44)).astype(np.int64)] = True
+        # Pairs of all notices, and which each notice has; pairs of a family that no other has.
+        self.templates = [(f, x) for f in self.families for x in self.notices[f]]
+        every = {f: frozenset().union(*self.notices[f]) for f in self.families}
+        self.alone = {f: every[f].difference(*[every[g] for g in self.families if g != f]) for f in self.families}
+        self.pairs = np.array(sorted(frozenset().union(*every.values())), np.uint64)
+        self.has = np.array([[x in t for x in self.pairs.tolist()] for _, t in self.templates])
+        self.marks = np.array([[x in self.alone[f] for x in self.pairs.tolist()] for f, _ in self.templates]) & self.has
 
     def hits(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(segments, features) of a batch, each pair once."""
@@ -157,26 +165,104 @@ class LicenseModel:
         z = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
         return z / z.sum(1, keepdims=True)
 
+    def named(self, own: frozenset[int], p: np.ndarray) -> list[tuple[str, float, float]]:
+        """(family, probability, containment) of a paragraph with these word pairs and probabilities of the classes."""
+        if 1 - p[-1] < CERTAIN:
+            return []
+        share = {f: max(len(own & x) / len(x) for x in self.notices[f]) for f in self.families}
+        order = sorted(range(len(self.families)), key=lambda c: (-share[self.families[c]], c))
+        best, out, known = int(p[:-1].argmax()), [], set()
+        for c in ([best] if p[best] >= CERTAIN else []) + [c for c in order if c != best or p[best] < CERTAIN]:
+            f = self.families[c]
+            first = c == best and p[best] >= CERTAIN
+            there = any(own & x & self.alone[f] and (2 * len((own & x) - known) >= len(x) or (x <= own and x - known)) for x in self.notices[f])
+            if first or (share[f] >= CONFIRM and there):
+                out.append((f, float(p[c]), share[f]))
+                if share[f] >= CONFIRM:
+                    known |= set().union(*[x for x in self.notices[f] if len(own & x) >= CONFIRM * len(x)])
+        return out
+
+    def wrapped(self, words: np.ndarray, at: np.ndarray, docs: np.ndarray) -> list[tuple[int, int]]:
+        """(first, past) words of stretches over lines without a blank one that hold a notice; docs: that of each line."""
+        line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        if len(line) < 2:
+            return []
+        broken = (np.diff(line) > 1) | (np.diff(docs[line]) != 0)
+        run = np.concatenate([[0], np.cumsum(broken)])
+        edges = np.flatnonzero(np.concatenate([[True], broken]))
+        several = line[np.append(edges[1:], len(line)) - 1] > line[edges]
+        hashes = K.gram_hashes(words, 2)[: len(line) - 1]
+        i = np.minimum(np.searchsorted(self.pairs, hashes), len(self.pairs) - 1)
+        places = np.flatnonzero((self.pairs[i] == hashes) & ~broken & several[run[:-1]])
+        which, of = i[places], run[places]
+        runs, pairs = np.divmod(np.unique(of * len(self.pairs) + which), len(self.pairs))
+        kinds, runs = np.unique(runs, return_inverse=True)
+        found = []
+        for t, (_, x) in enumerate(self.templates):
+            least = CONFIRM * len(x)
+            enough = np.bincount(runs, self.has[t, pairs], len(kinds)) >= least
+            enough &= np.bincount(runs, self.marks[t, pairs], len(kinds)) > 0
+            for r in kinds[enough].tolist():
+                lo, hi = np.searchsorted(of, [r, r + 1])
+                mine = lo + np.flatnonzero(self.has[t, which[lo:hi]])
+                where, what = places[mine], which[mine].tolist()
+                # Twice the notice's words hold it wherever it is wrapped, whatever stands before each line.
+                past = np.searchsorted(where, where + 2 * (len(x) + 1)).tolist()
+                k = 0
+                while k < len(what):
+                    if past[k] - k < least or len(set(what[k : past[k]])) < least:
+                        k += 1
+                        continue
+                    k = max(range(k, past[k]), key=lambda m: (len(set(what[m : past[m]])), -m))
+                    found.append((int(where[k]), int(where[past[k] - 1]) + 2))
+                    k = past[k]
+        merged: list[tuple[int, int]] = []
+        for lo, hi in sorted(found):
+            if merged and lo < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+            else:
+                merged.append((lo, hi))
+        return [(lo, hi) for lo, hi in merged if line[lo] < line[hi - 1]]
+
     def scan(self, data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
-        """For each document the paragraphs with a license: paragraph, family, probability, containment, confirmed."""
+        """For each document the paragraphs with a license: paragraph, family, probability, containment, confirmed.
+
+        A notice over several lines is named at its first one, in place of what its lines alone leave unconfirmed.
+        """
         ends = np.flatnonzero(data == 0x0A)
         cuts = np.union1d(offs, ends)
         starts, stops, at = K.spans(data, cuts, K.ALNUM)
         words = K.word_hashes(data, starts, stops)
         segments, features = self.hits(words, at)
         out: list[list[dict]] = [[] for _ in range(len(offs) - 1)]
+        docs = np.searchsorted(offs, cuts[:-1], side="right") - 1
+
+        def entry(s: int, family: str, probability: float, share: float) -> dict:
+            paragraph = int(np.searchsorted(ends, cuts[s], side="right") - np.searchsorted(ends, offs[docs[s]]))
+            return {"paragraph": paragraph, "family": family, "probability": probability, "containment": share, "confirmed": share >= CONFIRM}
+
         which, n = np.unique(segments, return_counts=True)
         which = which[n >= 2]  # one word of a notice says nothing
         p = self.probabilities(segments, features, which)
-        best = p[:, :-1].argmax(1) if len(which) else np.zeros(0, np.int64)
-        doc = np.searchsorted(offs, cuts[which], side="right") - 1
-        for r in np.flatnonzero(p[np.arange(len(which)), best] >= CERTAIN).tolist():
-            d, s = int(doc[r]), int(which[r])
-            family = self.families[best[r]]
-            own = _pairs(words[at[s] : at[s + 1]])
-            share = max(len(own & x) / len(x) for x in self.notices[family])
-            paragraph = int(np.searchsorted(ends, cuts[s], side="right") - np.searchsorted(ends, offs[d]))
-            out[d].append({"paragraph": paragraph, "family": family, "probability": float(p[r, best[r]]), "containment": share, "confirmed": share >= CONFIRM})
+        lines: dict[int, list[dict]] = {}
+        for r in np.flatnonzero(1 - p[:, -1] >= CERTAIN).tolist() if len(which) else []:
+            s = int(which[r])
+            lines[s] = [entry(s, *x) for x in self.named(_pairs(words[at[s] : at[s + 1]]), p[r])]
+        spans = self.wrapped(words, at, docs)
+        if spans:
+            own_at = np.concatenate([[0], np.cumsum([hi - lo for lo, hi in spans])])
+            p = self.probabilities(*self.hits(np.concatenate([words[lo:hi] for lo, hi in spans]), own_at), np.arange(len(spans)))
+            for r, (lo, hi) in enumerate(spans):
+                s, e = (int(x) for x in np.searchsorted(at, [lo, hi - 1], side="right") - 1)
+                here = {x["family"] for k in range(s, e + 1) for x in lines.get(k, []) if x["confirmed"]}
+                sure = [x for x in (entry(s, *x) for x in self.named(_pairs(words[lo:hi]), p[r])) if x["confirmed"]]
+                if sure:
+                    for k in range(s, e + 1):
+                        if k in lines:
+                            lines[k] = [x for x in lines[k] if x["confirmed"]]
+                    lines.setdefault(s, []).extend(x for x in sure if x["family"] not in here)
+        for s in sorted(lines):
+            out[int(docs[s])].extend(lines[s])
         return out
 
 
@@ -212,7 +298,8 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, ridge:
 def train_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = MOST_DOCS, seed: int = SEED) -> LicenseModel:
     """A model from variants of NOTICES, OTHERS, and the paragraphs of about most_docs documents, chosen by a hash.
 
-    Paragraphs of the corpus that have a third or more of a notice's word pairs are left out, as they may be notices.
+    Paragraphs of the corpus that have a third or more of a notice's word pairs, and lines of wrapped notices, are left out,
+    as they may be notices.
     """
     spark = docs.sparkSession
     families, rng = sorted(NOTICES), np.random.default_rng(seed)
@@ -243,7 +330,11 @@ def train_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 words = K.word_hashes(data, starts, stops)
                 segments, features = own.hits(words, at)
                 edges = np.searchsorted(segments, np.arange(len(cuts)))
-                for s in np.flatnonzero(np.diff(at) > 0).tolist():
+                plain = np.diff(at) > 0
+                for lo, hi in own.wrapped(words, at, np.searchsorted(offs, cuts[:-1], side="right") - 1):
+                    s, e = np.searchsorted(at, [lo, hi - 1], side="right") - 1
+                    plain[s : e + 1] = False
+                for s in np.flatnonzero(plain).tolist():
                     key = tuple(features[edges[s] : edges[s + 1]].tolist())
                     if len(key) > 3:
                         has = _pairs(words[at[s] : at[s + 1]])
@@ -282,7 +373,7 @@ def train_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, licenses) of every row: the paragraphs (from 0) that name a license, with family, probability, the largest
+    """(doc_id, licenses) of every row: the paragraphs (lines from 0) that name licenses, each with family, probability, the largest
     part of a notice's word pairs that it has, and whether that confirms it.
 
     A null text or one without such a paragraph has an empty array; repeated rows are each scanned; whole texts are read.

@@ -84,3 +84,20 @@ def test_held_out_variants(model):
     for t in licenses.OTHERS:
         data = np.frombuffer(t.encode(), np.uint8)
         assert not any(x["confirmed"] for x in model.scan(data, np.array([0, len(data)]))[0])
+
+
+def test_wrapped_notices_and_several_licenses(model):
+    import numpy as np
+
+    gpl = "This program is free software: you can redistribute it and/or modify\n{0}it under the terms of the GNU General Public License as published by\n{0}the Free Software Foundation, either version 3 of the License, or\n{0}(at your option) any later version."
+
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [(x["paragraph"], x["family"]) for x in model.scan(data, np.array([0, len(data)]))[0] if x["confirmed"]]
+
+    assert found("A title.\n\n" + gpl.format("") + "\n\nMore.") == [(2, "gpl-3.0")]
+    assert found("/*\n * " + gpl.format(" * ") + "\n */\nint main() {}\nint x;\n") == [(1, "gpl-3.0")]
+    mit = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files."
+    assert [f for _, f in found(mit)] == ["mit"]
+    assert sorted(f for _, f in found("Licensed under the MIT License or the Apache License, Version 2.0.")) == ["apache-2.0", "mit"]
+    assert found("The driver must carry\na valid license at all times.\nYou may not use this\nservice without permission.") == []
