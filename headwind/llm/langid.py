@@ -20,9 +20,9 @@ from headwind.llm.folds import fold
 from headwind.llm.workers import mapped
 
 BITS = 16
-#: Added to each trigram's count; the weight of likelihoods (trigrams overlap, so they count less than in full); steps
-#: of expectation-maximisation; languages in a set at most; the penalty in units of half the logarithm of the words.
-SMOOTH, TEMPER, STEPS, MOST_LANGUAGES, PENALTY = 0.5, 0.5, 6, 4, 2.0
+#: Added to each trigram's count; the weight of likelihoods (trigrams overlap, so they count less than in full); the
+#: largest change of a proportion at which expectation-maximisation ends; the penalty in units of half the logarithm of the words.
+SMOOTH, TEMPER, TOLERANCE, PENALTY = 0.5, 0.5, 1e-4, 2.0
 UNKNOWN = "und"
 
 RESULT = "lang_pred string, score double, languages array<string>, proportions array<double>"
@@ -63,9 +63,9 @@ class LanguageModel:
             return out
         n, first = n[full], at[:-1][full]
         owner = np.repeat(np.arange(len(full)), n)
-        share = _proportions(like, owner, first, n, np.full((len(full), like.shape[1]), 1 / like.shape[1], np.float32), STEPS)
+        share = _proportions(like, owner, first, n, np.full((len(full), like.shape[1]), 1 / like.shape[1], np.float32))
         order = np.argsort(-share, axis=1, kind="stable")
-        best, chosen, size = np.full(len(full), -np.inf), np.zeros((len(full), min(MOST_LANGUAGES, like.shape[1]))), np.ones(len(full), int)
+        best, chosen, size = np.full(len(full), -np.inf), np.zeros((len(full), like.shape[1])), np.ones(len(full), int)
         for k in range(1, chosen.shape[1] + 1):
             top = order[:, :k]
             part = np.take_along_axis(like, top[owner], 1) if k < like.shape[1] else like[np.arange(len(like))[:, None], top[owner]]
@@ -73,7 +73,7 @@ class LanguageModel:
             own = np.maximum(own, 1e-6)
             own /= own.sum(1, keepdims=True)
             if k > 1:
-                own = _proportions(part, owner, first, n, own, STEPS)
+                own = _proportions(part, owner, first, n, own)
             value = np.add.reduceat(np.log(np.maximum((part * own[owner]).sum(1), 1e-30)), first) - PENALTY * 0.5 * (k - 1) * np.log(n + 1)
             better = value > best + 1e-6
             best[better], size[better] = value[better], k
@@ -88,12 +88,19 @@ class LanguageModel:
         return out
 
 
-def _proportions(like: np.ndarray, owner: np.ndarray, first: np.ndarray, n: np.ndarray, share: np.ndarray, steps: int) -> np.ndarray:
-    """Steps of expectation-maximisation from share, for all documents at once."""
-    for _ in range(steps):
-        part = like * share[owner]
+def _proportions(like: np.ndarray, owner: np.ndarray, first: np.ndarray, n: np.ndarray, share: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """Expectation-maximisation from share, for all documents at once: so many steps, or each until it moves by TOLERANCE at most."""
+    share, live, done = share.astype(np.float32), np.arange(len(n)), 0
+    while len(live) and done != steps:
+        own = share[live]
+        part = like * own[owner]
         part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(part, first, axis=0) / n[:, None].astype(np.float32)
+        share[live] = np.add.reduceat(part, first, axis=0) / n[:, None].astype(np.float32)
+        done += 1
+        still = np.abs(share[live] - own).max(1) > TOLERANCE
+        if steps is None and not still.all():
+            like, live, n = like[still[owner]], live[still], n[still]
+            owner, first = np.repeat(np.arange(len(live)), n), np.cumsum(n) - n
     return share
 
 

@@ -267,6 +267,26 @@ def test_proportions_are_the_maximum():
     assert got[0] == pytest.approx(best, abs=2e-3)
 
 
+def test_many_languages_and_steady_proportions():
+    rng = np.random.default_rng(3)
+    stems = {f"l{i}": ["".join(chr(97 + (5 * i + k) % 26) for k in rng.integers(0, 5, 5)) for _ in range(40)] for i in range(6)}
+    texts = {name: " ".join(rng.choice(w, 3000)) for name, w in stems.items()}
+    learned = {}
+    for name, text in texts.items():
+        codes, before, after, offs = next(langid.L.word_batches(langid.pa.array([text])))[2:]
+        where = np.flatnonzero(codes)
+        learned[name] = np.unique(langid.L.hashed(langid.BITS, before[where], codes[where], after[where]), return_counts=True)
+    model = langid.LanguageModel.of(learned)
+    mixed = " ".join(" ".join(t.split()[:150]) for t in texts.values())
+    parts = next(langid.L.word_batches(langid.pa.array([mixed, texts["l0"], mixed])))[2:]
+    got = model.infer(*parts)
+    assert sorted(got[0][2]) == sorted(stems) and got[0][3] == pytest.approx([1 / 6] * 6, abs=0.03)
+    assert got[1][2] == ["l0"] and got[2] == got[0]
+    like = np.array([[1.0, 0.9], [0.9, 1.0], [1.0, 0.8], [1.0, 0.9]], np.float32)
+    args = (like, np.zeros(4, int), np.array([0]), np.array([4]), np.full((1, 2), 0.5, np.float32))
+    assert langid._proportions(*args)[0, 0] == pytest.approx(langid._proportions(*args, 20_000)[0, 0], abs=0.02)
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
