@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from headwind.llm import kernel as K
 from headwind.llm.folds import bounded_sample, fold
 from headwind.llm.workers import mapped
-from headwind.session import materialize
 
 #: Labelled rows to learn from at most, pairs drawn from them, and the weight of the squared weights.
 MOST_ROWS, PAIRS, RIDGE, SEED = 50_000, 200_000, 1e-3, 11
@@ -96,9 +95,15 @@ class PairwiseModel:
         return np.clip((wide - self.mean) / self.scale, -8, 8)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """In 0..1, and 0.5 or more where the ranking score reaches the threshold."""
-        z = np.clip(self.slope * (self.spread(x) @ self.weights - self.threshold), -30, 30)
-        return 1 / (1 + np.exp(-z))
+        """In 0..1, and 0.5 or more where the ranking score reaches the threshold.
+
+        The weighted features are added column by column, so a row's score does not depend on the rows beside it, as it
+        does where a matrix product chooses its order of summation by their number.
+        """
+        spread, z = self.spread(x), np.zeros(len(x))
+        for j, w in enumerate(self.weights.tolist()):
+            z += spread[:, j] * w
+        return 1 / (1 + np.exp(-np.clip(self.slope * (z - self.threshold), -30, 30)))
 
 
 def train_pairwise(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = SEED) -> PairwiseModel:
@@ -146,53 +151,66 @@ def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return mapped(own, run, "doc_id bigint, features array<double>")
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, most_rows: int = MOST_ROWS) -> PairwiseModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, most_rows: int = MOST_ROWS, doc_id: str = "doc_id", text: str = "text") -> PairwiseModel:
     """A model from rows whose fold is not `held`; at most about most_rows of them, chosen by a hash of doc_id.
 
-    Labels other than 0 and 1, null ids and ids without a document are left out; an id with both labels counts as both.
+    Labels other than 0 and 1, null ids and ids without a document are left out; an id with both labels counts as both, and
+    rows of one id count once for each set of features that they have. Features are computed of the labelled rows alone: their ids, of which there
+    are about most_rows at most, are sent to the documents. Null and empty texts have the features of no words.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").distinct()
     known = bounded_sample(known.where(fold(F.col("doc_id"), parts) != held), most_rows, F.col("doc_id"))
-    rows = features.join(known, "doc_id").select("doc_id", "label", "features").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    ids = known.groupBy("doc_id").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    labelled = own.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    rows = feature_table(labelled).distinct().toPandas().merge(ids.toPandas(), on="doc_id")
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
-    return train_pairwise(x, rows["label"].to_numpy(np.int64))
+    both = (rows["least"] != rows["most"]).to_numpy()
+    # Rows of one id are told apart by their features, so that the drawn pairs don't depend on the order they came in.
+    x = np.concatenate([x, x[both]])
+    y = np.concatenate([rows["most"].to_numpy(np.int64), np.zeros(int(both.sum()), np.int64)])
+    at = np.concatenate([rows["doc_id"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64)[both]])
+    order = np.lexsort((*x.T[::-1], y, at))
+    return train_pairwise(x[order], y[order])
 
 
-def score_features(features: DataFrame, model: PairwiseModel) -> DataFrame:
-    """(doc_id, score) of feature_table's rows."""
-    shared = features.sparkSession.sparkContext.broadcast(model)
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, most_rows: int = MOST_ROWS) -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, score, predicted (1 from a score of 0.5 on).
+
+    A null or empty text has the features of no words and is scored as any other; repeated rows are each scored, alike; a
+    null doc_id is scored and never learned from. Without labelled rows of both kinds every score is 0.5 or more, unless
+    all are rejected. Other columns of docs play no part.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, label, parts, held, most_rows))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).flatten()).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x), pa.float64())], names=["doc_id", "score"])
-
-    return mapped(features, run, "doc_id bigint, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), shared.value), pa.float64())], names=["doc_id", "score"])
 
+    scored = mapped(own, run, "doc_id bigint, score double")
+    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, most_rows: int = MOST_ROWS) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, score, predicted (1 from a score of 0.5 on).
 
-    A null or empty text has the features of no words and is scored as any other; repeated rows are each scored; a null
-    doc_id is scored and never learned from. Without labelled rows of both kinds every score is 0.5 or more, unless all are
-    rejected. Other columns of docs play no part.
-    """
-    features = materialize(feature_table(docs), "quality-features")
-    model = fit_quality(features, labels, label, parts, held, most_rows)
-    scored = score_features(features, model)
-    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def _scores(texts: pa.Array, model: PairwiseModel) -> np.ndarray:
+    parts = [model.score(text_features(data, offs)) for _, _, data, offs in K.text_batches(texts)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose score is below 0.5, with the columns of docs."""
-    model = fit_quality(feature_table(docs), labels, **options)
+    """docs without the documents whose score is below 0.5, with the columns of docs.
+
+    These are the rows that quality_scores() predicts to be 1. A null or empty text is judged by the features of no words;
+    repeated rows stay or go together, as do rows alike in text whatever their doc_id; a null doc_id is judged by its text;
+    without labels every row stays; an empty table gives no rows. options are those of fit_quality().
+    """
+    model = fit_quality(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches):
         for batch in batches:
-            parts = [shared.value.score(text_features(data, offs)) for _, _, data, offs in K.text_batches(batch.column(0).field("text"))]
-            good = (np.concatenate(parts) if parts else np.zeros(0)) >= 0.5
+            good = _scores(batch.column(0).field("text"), shared.value) >= 0.5
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(good))
 
     return mapped(nested, run, f"row {nested.schema['row'].dataType.simpleString()}").select("row.*")

@@ -303,6 +303,33 @@ def test_pairwise_order():
     assert ((got >= 0.5) == y).mean() > 0.85 and (got >= 0.5).mean() == pytest.approx(y.mean(), abs=0.01)
 
 
+def test_scores_do_not_depend_on_batches(spark, documents, labels):
+    model = quality.fit_quality(documents, labels)
+    texts = [r["text"] for r in documents.collect()]
+    whole = quality._scores(quality.pa.array(texts), model)
+    for size in (1, 3, 7, 64):
+        apart = np.concatenate([quality._scores(quality.pa.array(texts[i : i + size]), model) for i in range(0, len(texts), size)])
+        assert (apart == whole).all()
+    good = {r["doc_id"] for r in quality.quality_scores(documents, labels).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in quality.keep_good(documents.repartition(3), labels).collect()} == good
+
+
+def test_ranking_is_the_least_loss(spark):
+    """The weights against plain gradient descent on the same pairs."""
+    rng = np.random.default_rng(9)
+    x = rng.random((60, len(quality.FEATURES)))
+    y = (x[:, 1] + 0.4 * rng.normal(size=60) > 0.5).astype(int)
+    model = quality.train_pairwise(x, y, pairs=500, ridge=0.05, seed=3)
+    z, draw = model.spread(x), np.random.default_rng(3)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    diff = z[draw.choice(good, 500)] - z[draw.choice(bad, 500)]
+    w = np.zeros(z.shape[1])
+    for _ in range(6000):
+        w -= 0.1 * (-(diff / (1 + np.exp(diff @ w))[:, None]).mean(0) + 0.05 * w)
+    assert np.abs(w - model.weights).max() < 1e-3
+    assert model.threshold == pytest.approx(np.sort(z @ model.weights)[len(bad) - 1 : len(bad) + 1].mean())
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
