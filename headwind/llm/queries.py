@@ -156,7 +156,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 #: Rates, fences and sketch buckets as in rules.py, spelled out: the lower edge of 32 buckets to each power of two.
 _RATES = {"wl": "100 * word_chars // n_words", "sy": "1000 * n_symbols // word_chars", "du": "1000 * n_dup_lines // n_lines", "re": "1000 * n_repeat_words // n_words"}
-_SPREADS = {"wl": (6, 20), "sy": (3, 6), "du": (3, 200), "re": (3, 100)}
+_SPREADS = {"wl": (6, 20), "sy": (3, 6), "du": (3, 120), "re": (3, 80)}
 
 
 def _edge(v: str) -> str:
@@ -171,7 +171,8 @@ def _quartile(v: str, k: int) -> str:
 def _op5() -> str:
     wanted = [f"{_quartile('n_words', 2)} AS words", *(f"{_quartile(sql, k)} AS {r}{k}" for r, sql in _RATES.items() for k in (1, 3))]
     names = ["words", *(f"{r}{k}" for r in _RATES for k in (1, 3))]
-    picked = ", ".join(f"CASE WHEN a.n >= 200 THEN a.{x} WHEN b.n >= 200 THEN b.{x} ELSE c.{x} END AS {x}" for x in names)
+    tongue = ", ".join(f"(CAST(b.n AS DOUBLE) * b.{x} + 200.0::DOUBLE * c.{x}) / (CAST(b.n AS DOUBLE) + 200.0::DOUBLE) AS {x}" for x in names)
+    picked = ", ".join(f"(CAST(a.n AS DOUBLE) * a.{x} + 200.0::DOUBLE * l.{x}) / (CAST(a.n AS DOUBLE) + 200.0::DOUBLE) AS {x}" for x in names)
     room = "sqrt(greatest(1.0, words / n_words))"
     spread = {r: f"{t} * greatest({r}3 - {r}1, {least}) * {room}" for r, (t, least) in _SPREADS.items()}
     tests = [f"{sql} <= {r}3 + {spread[r]}" for r, sql in _RATES.items()] + [f"{_RATES['wl']} >= wl1 - {spread['wl']}"]
@@ -191,7 +192,8 @@ fit AS (SELECT * FROM d WHERE NOT base_failed),
 a AS (SELECT lang, source, count(*) AS n, {', '.join(wanted)} FROM fit GROUP BY lang, source),
 b AS (SELECT lang, count(*) AS n, {', '.join(wanted)} FROM fit GROUP BY lang),
 c AS (SELECT {', '.join(wanted)} FROM fit),
-f AS (SELECT a.lang, a.source, {picked} FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang CROSS JOIN c)
+l AS (SELECT b.lang, {tongue} FROM b CROSS JOIN c),
+f AS (SELECT a.lang, a.source, {picked} FROM a JOIN l ON a.lang IS NOT DISTINCT FROM l.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        CASE WHEN base_failed THEN false ELSE {' AND '.join(tests)} END AS kept
 FROM d LEFT JOIN f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source

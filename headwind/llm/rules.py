@@ -2,13 +2,15 @@
 
 Every document gets counts from its whole text. Rates derived from them go into quantile sketches for each language and
 source: counts of logarithmic buckets with a relative width of 1/32, which merge by addition, so a group's sketch does
-not depend on how its rows were dealt. Fences are the quartiles widened by a multiple of their distance; a group of
-few documents takes the merged sketch of its language, or of all documents. The fences are joined to the documents.
+not depend on how its rows were dealt. Fences are the quartiles widened by a multiple of their distance. A group's
+quartiles are drawn towards those of its language, and these towards those of all documents, as if PRIOR more documents
+were there of the larger group: few documents say little of their own, many say nearly all. The fences are joined to the
+documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwind.session import materialize
@@ -17,16 +19,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Words of a window; words that a text must have; percent of words in repeated windows that it may have.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Documents that a group needs for fences of its own.
-LEAST_GROUP = 200
+#: Documents of the larger group that count beside a group's own.
+PRIOR = 200
 
 #: Rates: SQL over the counts, times the distance of quartiles, that distance at least, and whether too low is bad too.
-#: The fences widen for texts shorter than the group's median, as rates of few words vary more.
+#: The fences widen for texts shorter than the group's median, as rates of few words vary more. Where most texts of a
+#: group have none of a rate, the least distance decides: with 3 * 80 per mille of repeated words, below the base rule's 300.
 RATES = {
     "word_length": ("100 * word_chars div n_words", 6, 20, True),
     "symbols": ("1000 * n_symbols div word_chars", 3, 6, False),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 3, 200, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 3, 100, False),
+    "dup_lines": ("1000 * n_dup_lines div n_lines", 3, 120, False),
+    "repeats": ("1000 * n_repeat_words div n_words", 3, 80, False),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -81,27 +84,24 @@ def sketches(counts: DataFrame) -> DataFrame:
     return merged.groupBy("g.level", "g.lang", "g.source", "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """(lang, source, words, <rate>_q1, <rate>_q3): the median of words and the quartiles that hold for each group."""
-    from pyspark.sql import Window
-
     group = ["level", "lang", "source", "rate"]
     below = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketch.withColumn("upto", F.sum("n").over(below)).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
     quartile = lambda k, rate: F.min(F.when((F.col("rate") == rate) & (4 * F.col("upto") >= k * F.col("all")), floor_of(F.col("bucket"))))
+    names = ["words", *[f"{r}_q{k}" for r in RATES for k in (1, 3)]]
     wanted = [quartile(2, "words").alias("words")] + [quartile(k, r).alias(f"{r}_q{k}") for r in RATES for k in (1, 3)]
-    levels = ranked.groupBy("level", "lang", "source").agg(F.max("all").alias("n"), *wanted)
-    values = F.struct("words", *[f"{r}_q{k}" for r in RATES for k in (1, 3)])
-    packed = levels.select("level", "lang", "source", (F.col("n") >= least_group).alias("enough"), values.alias("v"))
-    own = packed.where("level = 0")
-    tongue = packed.where("level = 1").select(F.col("lang").alias("lang1"), F.when(F.col("enough"), F.col("v")).alias("v1"))
-    whole = packed.where("level = 3").select("v.*").first()  # one row
-    every = F.struct(*[F.lit(whole[c] if whole else None).cast(packed.schema["v"].dataType[c].dataType).alias(c) for c in packed.schema["v"].dataType.names])
-    chosen = own.join(tongue, F.col("lang").eqNullSafe(F.col("lang1")), "left")
-    return chosen.select("lang", "source", F.coalesce(F.when(F.col("enough"), F.col("v")), F.col("v1"), every).alias("v")).select("lang", "source", "v.*")
-
-
-def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_group: int = LEAST_GROUP) -> DataFrame:
+    levels = ranked.groupBy("level", "lang", "source").agg(F.max("all").cast("double").alias("n"), *wanted)
+    whole = levels.where("level = 3").first()  # one row
+    # A value of its own n documents and of `prior` ones of the larger group.
+    drawn = lambda n, own, larger: (n * own + F.lit(float(prior)) * larger) / (n + F.lit(float(prior)))
+    tongue = levels.where("level = 1").select(F.col("lang").alias("lang1"), *[drawn(F.col("n"), F.col(c), F.lit(whole[c] if whole else None)).alias(f"{c}_1") for c in names])
+    own = levels.where("level = 0").join(tongue, F.col("lang").eqNullSafe(F.col("lang1")))
+    return own.select("lang", "source", *[drawn(F.col("n"), F.col(c), F.col(f"{c}_1")).alias(c) for c in names])
+
+
+def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """One row for each row of docs: doc_id, COUNTS, base_failed, kept.
 
     base_failed: fewer than LEAST_WORDS words, or more than MOST_REPEATED percent of them in windows of WINDOW words that
@@ -112,7 +112,7 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     keep = {"doc_id": F.col(f"`{doc_id}`"), "lang": F.col(f"`{lang}`").cast("string"), "source": F.col(f"`{source}`").cast("string")}
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     counted = materialize(text_counts(docs, keep, text).withColumn("base_failed", failed), "rules-counts")
-    limits = fences(materialize(sketches(counted.where("not base_failed")), "rules-sketches"), least_group)
+    limits = fences(materialize(sketches(counted.where("not base_failed")), "rules-sketches"), prior)
     limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     room = F.sqrt(F.greatest(F.lit(1.0), F.col("words") / F.col("n_words")))

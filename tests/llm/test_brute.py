@@ -387,6 +387,36 @@ def test_sketches_merge_and_bound(spark):
     assert rows.where("b < 0").count() == 0 and rows.groupBy("low").agg(F.count_distinct("b").alias("n")).where("n > 1").count() == 0
 
 
+def _rule_rows(n, source, text="w{} " * 60):
+    return [(i, text.format(*range(i, i + 60)), "en", source) for i in range(n)]
+
+
+def test_fences_follow_the_group(spark):
+    """In a group whose texts have no repeats, texts with many are rejected and ordinary ones stay; no step at a size."""
+    some = lambda letter, n: " ".join(f"{letter}{100 + i}" for i in range(n))
+    lines = "".join(f"n{i}00 of so many words x{i}00 y{i}00\n" for i in range(20))
+    rows = _rule_rows(400, "a") + [
+        (1001, some("q", 90) + " " + (some("a", 15) + " ") * 2 + some("r", 90), "en", "a"),
+        (1002, lines + "".join(f"s{i}00\n" for i in range(9)) + "s100\n" * 40, "en", "a"),
+        (1003, lines + "n100 of so many words x100 y100\n" * 3, "en", "a"),
+        (1004, some("v", 63) + " " + (some("p", 11) + " ") * 2, "en", "a"),
+    ]
+    got = {r["doc_id"]: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(400)) and got[1001]["kept"] and got[1003]["kept"]
+    assert 250 <= 1000 * got[1004]["n_repeat_words"] / got[1004]["n_words"] < 300 and not got[1004]["base_failed"] and not got[1004]["kept"]
+    assert got[1002]["n_dup_lines"] == 40 and not got[1002]["base_failed"] and not got[1002]["kept"]
+
+
+def test_fences_change_little_with_one_document_more(spark):
+    def of(n):
+        rows = _rule_rows(900, "a") + _rule_rows(n, "b", "longerword{} " * 60)
+        counts = rules.text_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), {c: rules.F.col(c) for c in ("doc_id", "lang", "source")})
+        return next(r for r in rules.fences(rules.sketches(counts)).collect() if r["source"] == "b")
+
+    a, b, own = of(199), of(200), of(3000)
+    assert a["word_length_q3"] == pytest.approx(b["word_length_q3"], rel=0.005) and own["word_length_q3"] > 1.1 * b["word_length_q3"]
+
+
 def test_no_python_in_native_queries(spark):
     for name in ("op2_url_lists", "op5_quality_rules"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
