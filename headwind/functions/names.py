@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 LINE_CATEGORIES = ("R", "RE", "S", "SN", "IR", "PE", "CC")
 ROUTE_TYPES = ("TRAM", "SUBWAY", "RAIL", "BUS", "FERRY", "CABLE_TRAM", "AERIAL_LIFT", "FUNICULAR", "TROLLEYBUS", "MONORAIL")
 TRACK_MODES = ("RAIL", "SUBWAY", "FUNICULAR")
+# What parts the words of a station's name.
+WORD_BREAKS = (" ", "\t", "\n", "\x0b", "\f", "\r", ",", "/", "-")
+#: Counted up with every change of how lines are named, so that timetables named by older rules are built anew.
+RULES = 2
 
 
 def station_number(text: Column) -> Column:
@@ -62,6 +66,5 @@ def platform_word(mode: Column) -> Column:
 def match_tier(name: Column, query: Column) -> Column:
     """How well a name answers a query: 0 is it, 1 begins with it, 2 has a word that does, 3 any other way."""
     name, query = F.lower(name), F.lower(trimmed(query))
-    escaped = F.regexp_replace(query, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    word = F.regexp_like(name, F.concat(F.lit(r"(^|[\s,/-])"), escaped))
-    return F.when(name == query, 0).when(F.startswith(name, query), 1).when(word, 2).otherwise(3).cast("int")
+    within = F.exists(F.array(*[F.lit(x) for x in WORD_BREAKS]), lambda x: F.contains(name, F.concat(x, query)))
+    return F.when(name == query, 0).when(F.startswith(name, query), 1).when(within, 2).otherwise(3).cast("int")

@@ -66,8 +66,10 @@ def page_earlier(found: DataFrame) -> DataFrame:
 
 def page_around(found: DataFrame) -> DataFrame:
     """A page before the anchor, the anchor's minute, and a page from the next minute on; no row is in two of them."""
-    here = found.where(F.col("clock") == F.col("at"))
-    return page_earlier(found).unionByName(here).unionByName(_first(found.where(F.col("clock") > F.col("at")), F.asc("clock")))
+    away = F.col("clock") - F.col("at")
+    sided = found.withColumn("side", F.signum(away).cast("int"))
+    ranked = sided.withColumn("rank", F.rank().over(Window.partitionBy("anchor", "side").orderBy(F.abs(away))))
+    return ranked.where((F.col("side") == 0) | (F.col("rank") <= F.col("limit"))).drop("side", "rank")
 
 
 def next_departures(found: DataFrame) -> DataFrame:
@@ -76,12 +78,19 @@ def next_departures(found: DataFrame) -> DataFrame:
 
 
 def earlier_with_tail(board: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Earlier pages; one that reaches below TAIL_CUTOFF, or is empty, is made again with the previous day's services."""
-    plain = page_earlier(candidates(board, anchors))
-    reached = plain.groupBy("anchor").agg(F.min("clock").alias("least"))
-    again = anchors.join(reached, "anchor", "left").where((F.col("at") >= TAIL_CUTOFF) & (F.coalesce("least", F.lit(0)) < TAIL_CUTOFF)).drop("least")
-    redone = page_earlier(candidates(board, again, F.lit(True)))
-    return plain.join(again.select("anchor"), "anchor", "left_anti").unionByName(redone)
+    """Earlier pages; one that reaches below TAIL_CUTOFF, or is empty, is made with the previous day's services instead.
+
+    Both pages come from one ranking of one join: an anchor's rows with the night services and those without.
+    """
+    found = candidates(board, anchors, F.lit(True)).where(F.col("clock") < F.col("at"))
+    late = F.desc("clock")
+    ranked = found.withColumn("plain", (F.col("offset") == 0) | (F.col("at") < TAIL_CUTOFF))
+    ranked = ranked.withColumns({"rank": F.rank().over(Window.partitionBy("anchor").orderBy(late)), "plain_rank": F.rank().over(Window.partitionBy("anchor", "plain").orderBy(late))})
+    first = F.col("plain") & (F.col("plain_rank") <= F.col("limit"))
+    least = F.min(F.when(first, F.col("clock"))).over(Window.partitionBy("anchor"))
+    again = (F.col("at") >= TAIL_CUTOFF) & (F.coalesce("least", F.lit(0)) < TAIL_CUTOFF)
+    kept = ranked.withColumn("least", least).where(F.when(again, F.col("rank") <= F.col("limit")).otherwise(first))
+    return kept.drop("plain", "rank", "plain_rank", "least")
 
 
 def page_extremes(page: DataFrame) -> DataFrame:
@@ -104,11 +113,13 @@ def delay_sets_by_scope(day_type: Column) -> dict[str, Column]:
     return {"day": calendar.day_type_name(day_type), "group": calendar.pool_of(day_type), "all": F.lit(calendar.ALL_DAYS)}
 
 
-def scopes_offered(sets: DataFrame) -> DataFrame:
-    """(day_type, scope, offered) for the delay sets (delay_set) that a bundle has."""
-    days = sets.sparkSession.range(7).select(F.col("id").cast("int").alias("day_type"))
-    wanted = days.select("day_type", F.explode(F.create_map(*[x for k, v in delay_sets_by_scope(F.col("day_type")).items() for x in (F.lit(k), v)])).alias("scope", "delay_set"))
-    return wanted.join(sets.select("delay_set").distinct().withColumn("has", F.lit(True)), "delay_set", "left").select("day_type", "scope", F.coalesce("has", F.lit(False)).alias("offered"))
+def scopes_offered(sets: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
+    """(day_type, scope, offered) for the delay sets (delay_set) that a bundle has; of several bundles by their columns."""
+    by = bundles.columns if bundles is not None else []
+    days = (bundles if bundles is not None else sets.sparkSession.range(1).select()).withColumn("day_type", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    wanted = days.select(*by, "day_type", F.explode(F.create_map(*[x for k, v in delay_sets_by_scope(F.col("day_type")).items() for x in (F.lit(k), v)])).alias("scope", "delay_set"))
+    has = sets.select(*by, "delay_set").distinct().withColumn("has", F.lit(True))
+    return wanted.join(has, [*by, "delay_set"], "left").select(*by, "day_type", "scope", F.coalesce("has", F.lit(False)).alias("offered"))
 
 
 def packed_statistics(stats: DataFrame) -> DataFrame:
@@ -175,12 +186,67 @@ def ordered_board(page: DataFrame, destination: str = "destination") -> DataFram
     return page.orderBy("anchor", "clock", F.collate("line", "UNICODE"), F.collate(F.col(destination).cast("string"), "UNICODE"))
 
 
-def roll_over(page: DataFrame, anchors: DataFrame, later: bool = True) -> DataFrame:
-    """The anchors to ask instead where a page is empty: the neighbouring day, a day's minutes on or back, not below 0."""
+def resolve_day_types(asked: DataFrame, served: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """asked (day_type, by...) with `answers`, the day type whose timetable answers, and `own`, whether it is the one asked for.
+
+    served: the day types (day_type, by...) that have data. One that has none is answered by the first that has, Monday
+    first; answers is null if there is no data at all. Statistics never fall back: they are those of the day type that
+    answers only where `own` holds.
+    """
+    # One row for each of `by`, so that what is joined to is as small as the list of bundles.
+    lists = served.groupBy(*by).agg(F.array_sort(F.collect_set(F.col("day_type").cast("int"))).alias("has")).withColumnsRenamed({c: f"of_{c}" for c in by})
+    if by:
+        known = asked.join(lists, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by], "left").drop(*[f"of_{c}" for c in by])
+    else:
+        known = asked.withColumn("has", F.array(*[F.lit(x) for x in lists.first()["has"]]).cast("array<int>"))  # seven at most
+    own = F.coalesce(F.array_contains("has", F.col("day_type")), F.lit(False))
+    return known.withColumns({"own": own, "answers": F.when(own, F.col("day_type")).otherwise(F.try_element_at("has", F.lit(1)))}).drop("has")
+
+
+def roll_over(page: DataFrame, anchors: DataFrame, later: bool = True, window: tuple[str, str] | None = None) -> DataFrame:
+    """The anchors to ask instead where a page is empty: the neighbouring day, a day's minutes on or back, not below 0.
+
+    With a column `date` the day type is the calendar's for the neighbouring date, and dates outside the window (first,
+    last) are not asked; without one it is the next or last weekday.
+    """
     step = 1 if later else -1
     empty = anchors.join(page.select("anchor").distinct(), "anchor", "left_anti")
-    at = F.greatest(F.lit(0), F.col("at") - step * DAY)
-    return empty.withColumns({"query_day": F.pmod(F.col("query_day") + step, F.lit(7)).cast("int"), "at": at.cast("int")})
+    at = F.greatest(F.lit(0), F.col("at") - step * DAY).cast("int")
+    if "date" not in anchors.columns:
+        return empty.withColumns({"query_day": F.pmod(F.col("query_day") + step, F.lit(7)).cast("int"), "at": at})
+    moved = empty.withColumns({"date": F.date_add("date", step), "at": at})
+    if window:
+        moved = moved.where(F.col("date").between(F.lit(window[0]).cast("date"), F.lit(window[1]).cast("date")))
+    return moved.withColumn("query_day", calendar.day_type(F.col("date")))
+
+
+def page_over_dates(board: DataFrame, anchors: DataFrame, later: bool = True, steps: int = 1, window: tuple[str, str] | None = None) -> DataFrame:
+    """Pages of the anchors; an empty one is asked for on the neighbouring day instead, up to `steps` days on.
+
+    Adds `rolled`, how many days a page's rows are from the day that was asked for. Anchors without rows to the end have none.
+    """
+    made, now = None, anchors
+    for turn in range(steps + 1):
+        page = (page_later if later else page_earlier)(candidates(board, now)).withColumn("rolled", F.lit(turn))
+        made = page if made is None else made.unionByName(page)
+        now = roll_over(page, now, later, window) if turn < steps else now
+    return made
+
+
+def departure_board(board: DataFrame, stops: DataFrame, stats: DataFrame, asks: DataFrame, origins: DataFrame, page=page_later, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """The whole answer to board requests: station, day type, stops of the station, page and statistics.
+
+    asks: (anchor, query, day_type, at, limit); origins: (query, stop) as stations.resolve() gives them; board: boardable
+    stop times; stats: service statistics, looked up under the station's number. A request whose station or day type
+    cannot be resolved has no rows. Adds to each departure the anchor's columns, origin, query_day, station_number, own
+    (whether the day type asked for has a timetable) and a struct for each scope.
+    """
+    resolved = resolve_day_types(asks, board.select("day_type").distinct()).where("answers is not null")
+    known = resolved.join(origins.select("query", F.col("stop").alias("origin")), "query")
+    around = board_stops(stops).withColumnsRenamed({"stop": "origin", "board_stop": "stop"})
+    numbered = delay_station(stops).withColumnRenamed("stop", "origin")
+    anchors = known.join(around, "origin").join(numbered, "origin").select("anchor", "stop", F.col("answers").alias("query_day"), "at", "limit", "origin", "own", "station_number")
+    return with_statistics(page(candidates(board, anchors)), stats, scopes, "station_number")
 
 
 def scope_for(wanted: str | None, offered: list[str]) -> str:

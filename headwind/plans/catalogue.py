@@ -11,6 +11,8 @@ from headwind.functions import calendar, clock, names
 from headwind.operators import departures as board
 from headwind.operators import observations, services, stations, timetables
 from headwind.plans import fixtures as fx
+from headwind.session import new_path
+from headwind.sources import files, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +52,18 @@ def station_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy(F.col("BPUIC").alias("raw"), names.station_number(F.col("BPUIC")).alias("bpuic"), names.station_of_stop(stop_id).alias("stop_number")).agg(F.count("*").alias("n"))
 
 
+@query
+def stop_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stop events written as semicolon-separated files, half of them in another order of columns, and read back."""
+    raw = fx.stop_event_text(spark, sf_dir)
+    folder = new_path(spark, "stop-event-files")
+    for half, order in enumerate((raw.columns, raw.columns[::-1])):
+        mine = raw.where(F.pmod(F.xxhash64(*raw.columns), F.lit(2)) == half).select(*order)
+        mine.write.csv(f"{folder}/{half}", sep=";", header=True, quoteAll=half == 1, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    paths = [f"{folder}/{half}/{n}" for half in (0, 1) for n in files.children(f"{folder}/{half}") if n.endswith(".csv")]
+    return _texts(observations.extract_observations(readers.read_stop_events(spark, paths)))
+
+
 # Service statistics
 
 
@@ -253,6 +267,23 @@ def earlier_with_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*_SHOWN)
 
 
+@query
+def departures_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later pages near midnight; an empty one is asked for on the next day."""
+    made = board.page_over_dates(board.boardable(fx.stop_times(spark, sf_dir)), fx.anchors(spark, sf_dir, (1380, 1439, 1500)))
+    return made.select(*_SHOWN, "rolled")
+
+
+@query
+def departure_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five board requests from the station's name to statistics, with a timetable that has no Saturday."""
+    stops, times = fx.stops(spark, sf_dir), board.boardable(fx.stop_times(spark, sf_dir)).where("day_type <> 5")
+    asks = spark.createDataFrame(fx.BOARD_REQUESTS, "anchor int, query string, day_type int, at int, limit int")
+    stats = services.service_statistics(fx.matched_observations(spark, sf_dir))
+    made = board.departure_board(times, stops, stats, asks, stations.resolve(stops, [r[1] for r in fx.BOARD_REQUESTS]), scopes=("all",))
+    return made.select("anchor", "origin", "query_day", "own", "station_number", "stop", "offset", "trip", "seq", "line", "clock", "destination", *[F.col(f"stats_all.{c}").alias(c) for c in ("kind", "matched", "catch_buffer_s", "samples")])
+
+
 @query
 def segment_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, (15, 359, 360)).groupBy("anchor", "at", "query_day", "offset").agg(F.count("*").alias("n"), F.min("clock").alias("first"), F.max("clock").alias("last"))
@@ -311,22 +342,25 @@ def departure_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bundle, day_type): eight bundles of the served days; number k lacks those whose number has a bit in common with k."""
+    days = fx.observations(spark, sf_dir).select(calendar.day_type(F.col("service_day")).alias("day_type")).distinct()
+    return days.select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bundle"), "day_type").where(F.col("bundle").bitwiseAND(F.col("day_type")) == 0)
+
+
 @query
 def scopes_offered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = fx.observations(spark, sf_dir).where("service_day < DATE '2024-01-05'")
-    return board.scopes_offered(services.coverage_days(obs))
+    sets = _bundles(spark, sf_dir).select("bundle", F.explode(calendar.delay_sets(F.col("day_type"))).alias("delay_set"))
+    return board.scopes_offered(sets, spark.range(8).select(F.col("id").cast("int").alias("bundle")))
 
 
 @query
 def day_type_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day type that answers for each one asked for: itself if there is data, else the first that has; and whether
     statistics exist for it, which never fall back."""
-    has = services.coverage_days(fx.observations(spark, sf_dir).where("service_day between DATE '2024-01-03' and DATE '2024-01-05'"))
-    sets = [r["delay_set"] for r in has.collect()]  # ten at most
-    days = spark.range(7).select(F.col("id").cast("int").alias("asked"), calendar.day_type_name(F.col("id").cast("int")).alias("name"))
-    first = next((d for d in calendar.DAY_TYPES if d in sets), None)
-    own = F.col("name").isin(sets)
-    return days.select("asked", F.when(own, F.col("name")).otherwise(F.lit(first)).alias("answers"), own.alias("statistics"))
+    asked = spark.range(8).select(F.col("id").cast("int").alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day_type"))
+    found = board.resolve_day_types(asked, _bundles(spark, sf_dir), by=("bundle",))
+    return found.select("bundle", F.col("day_type").alias("asked"), calendar.day_type_name(F.col("answers")).alias("answers"), F.col("own").alias("statistics"))
 
 
 @query
@@ -360,7 +394,7 @@ def recent_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def suggestion_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fx.table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", (F.lit(fx.STATION) + F.col("event_id") % 20).cast("int").alias("station")).distinct()
+    asked = fx.table(spark, sf_dir, "events").select("user_id", (F.lit(fx.STATION) + F.col("event_id") % 20).cast("int").alias("station")).distinct()
     return stations.without_recent(asked, stations.recent_stations(fx.lookups(spark, sf_dir)))
 
 

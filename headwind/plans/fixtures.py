@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwind.functions import calendar
-
 STATION = 8_500_000
 # Line names that cover every kind of match.
 TRIP_LINES = ("RE12", "RE", "RE5", "S3", "9", "IC21", "S")
+#: Board requests: (anchor, query, day type, minute, limit).
+BOARD_REQUESTS = [(0, "8500004:0:0", 2, 15, 5), (1, "8500007", 6, 480, 3), (2, "russia", 0, 1200, 4), (3, "nowhere", 0, 15, 4), (4, "Supplier#000000003", 5, 1439, 12)]
 EVENT_LINES = {"view": "RE12", "click": "RE", "signup": "S3", "error": "9", "purchase": "IC"}
 
 
@@ -108,6 +108,3 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct days of orders."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
 
-
-def day_type_of(column: str):
-    return calendar.day_type(F.col(column))

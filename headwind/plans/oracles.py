@@ -20,14 +20,14 @@ obs AS (SELECT CAST(ts AS DATE) - off AS service_day, CAST(8500000 + user_id % 1
         CAST(hour(ts) * 60 + 30 AS INT) AS dep_min, CAST(off AS INT) AS day_offset, CAST(minute(ts) * 60 + second(ts) - 1800 AS INT) AS delay_s FROM e)"""
 )
 
-#: Easter by the table-free rule of 1876 in its usual lettering, spelled out step by step.
+#: Easter by Gauss's rule of 1800 with his later correction: two remainders, and two exceptions.
 _EASTER = """
 years AS (SELECT CAST(y AS INT) AS y FROM range(1890, 2210) AS t(y)),
-c1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
-c2 AS (SELECT *, b // 4 AS d, b % 4 AS e, (b + 8) // 25 AS f, c // 4 AS i, c % 4 AS k FROM c1),
-c3 AS (SELECT *, (19 * a + b - d - (b - f + 1) // 3 + 15) % 30 AS h FROM c2),
-c4 AS (SELECT *, (32 + 2 * e + 2 * i - h - k) % 7 AS l FROM c3),
-easter AS (SELECT y, DATE '2000-03-22' - DATE '2000-03-22' + h + l - 7 * ((a + 11 * h + 22 * l) // 451) AS after, make_date(y, 3, 22) + CAST(h + l - 7 * ((a + 11 * h + 22 * l) // 451) AS INT) AS sunday FROM c4),
+century AS (SELECT y, y // 100 - y // 400 - (8 * (y // 100) + 13) // 25 AS solar, y // 100 - y // 400 AS leap FROM years),
+full_moon AS (SELECT y, solar, leap, (19 * (y % 19) + 15 + solar) % 30 AS moon FROM century),
+week AS (SELECT *, (2 * (y % 4) + 4 * (y % 7) + 6 * moon + 4 + leap) % 7 AS ahead FROM full_moon),
+easter AS (SELECT y, CAST(CASE WHEN moon = 29 AND ahead = 6 THEN make_date(y, 4, 19) WHEN moon = 28 AND ahead = 6 AND y % 19 > 10 THEN make_date(y, 4, 18)
+           ELSE make_date(y, 3, 22) + CAST(moon + ahead AS INT) END AS DATE) AS sunday FROM week),
 holiday AS (
   SELECT sunday - 2 AS day, 'Karfreitag' AS name, 2 AS pri FROM easter UNION ALL SELECT sunday + 1, 'Ostermontag', 2 FROM easter UNION ALL
   SELECT sunday + 39, 'Auffahrt', 2 FROM easter UNION ALL SELECT sunday + 50, 'Pfingstmontag', 2 FROM easter UNION ALL
@@ -48,13 +48,12 @@ _BUFFER = "list_sort(list(delay_s))[count(*) // 10 + 1]"
 
 def _stats(obs: str, sets: str = "day, pool, 'all'", min_samples: int = 1, source: str = "obs") -> str:
     """WITH-list that ends in `stats`."""
-    names = ", ".join(f"[{s}]" for s in ())
     return f"""{obs}, {_EASTER},
 typed AS (SELECT *, {_day_type('service_day')} AS day_type FROM {source}),
 named AS (SELECT *, {_NAMES}[day_type + 1] AS day, CASE WHEN day_type < 5 THEN 'weekdays' ELSE 'weekend' END AS pool FROM typed),
-each AS (SELECT *, unnest([{sets}]) AS delay_set FROM named){names},
+each AS (SELECT *, unnest([{sets}]) AS delay_set FROM named),
 grouped AS (SELECT delay_set, bpuic, line, dep_min, day_offset, count(*) AS samples, {_MEAN} AS avg_delay_s, {_BUFFER} AS catch_buffer_s FROM each GROUP BY ALL HAVING count(*) >= {min_samples}),
-stats AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY delay_set, bpuic, line, dep_min ORDER BY samples DESC, abs(day_offset), day_offset) = 1)"""
+stats AS MATERIALIZED (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY delay_set, bpuic, line, dep_min ORDER BY samples DESC, abs(day_offset), day_offset) = 1)"""
 
 
 _STATS_COLUMNS = "delay_set, bpuic, line, dep_min, catch_buffer_s, avg_delay_s, samples, day_offset"
@@ -79,7 +78,7 @@ p AS (SELECT *, CASE WHEN lower(extra) = 'true' OR lower(cancelled) = 'true' OR
 _TIMES = """
 t0 AS (SELECT l_orderkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS INT) AS seq,
        CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS n_stops FROM lineitem),
-times AS (SELECT CAST(isodow(CAST(o_orderdate AS DATE)) - 1 AS INT) AS day_type, l_orderkey AS trip, seq, n_stops, CAST(8500000 + l_suppkey AS INT) AS stop,
+times AS MATERIALIZED (SELECT CAST(isodow(CAST(o_orderdate AS DATE)) - 1 AS INT) AS day_type, l_orderkey AS trip, seq, n_stops, CAST(8500000 + l_suppkey AS INT) AS stop,
           ['RE12','RE','RE5','S3','9','IC21','S'][o_orderkey % 7 + 1] AS line, CAST(30 + 60 * ((o_orderkey * 5) % 24) + 60 * (seq - 1) AS INT) AS dep FROM t0 JOIN orders ON l_orderkey = o_orderkey)"""
 
 _SHOWN = "anchor, query_day, \"offset\", day_type, trip, seq, stop, line, dep, clock, destination"
@@ -93,7 +92,7 @@ dep0 AS (SELECT times.*, destination FROM times JOIN ends USING (day_type, trip)
 segs AS (SELECT *, day_type AS query_day, 0 AS "offset", dep AS clock FROM dep0 UNION ALL SELECT *, (day_type + 1) % 7, 1440, dep - 1440 FROM dep0 WHERE dep >= 1440),
 anchors AS (SELECT CAST((s_suppkey * 7 + d) * {len(times)} + i AS INT) AS anchor, CAST(8500000 + s_suppkey AS INT) AS stop, CAST(d AS INT) AS query_day, {list(times)}[i + 1] AS at_, {limit} AS "limit"
             FROM supplier, range(0, 7) AS a(d), range(0, {len(times)}) AS b(i)),
-found AS (SELECT segs.*, anchor, at_, "limit" FROM segs JOIN anchors USING (stop, query_day) WHERE "offset" = 0 OR {tail})"""
+found AS MATERIALIZED (SELECT segs.*, anchor, at_, "limit" FROM segs JOIN anchors USING (stop, query_day) WHERE "offset" = 0 OR {tail})"""
 
 
 def _page(where: str, order: str, limit: str = '"limit"', source: str = "found") -> str:
@@ -108,25 +107,39 @@ def _category(x: str) -> str:
     return f"nullif(regexp_extract({x}, '^(\\p{{L}}+)\\d*$', 1), '')"
 
 
-def _enriched() -> str:
+def _enriched(board: str | None = None, page: str = _LATER, station: str = "stop") -> str:
     """WITH-list that ends in `rows`: a page's rows for each scope with the statistics that they get."""
-    return f"""{_stats(_MATCHED)}, {_board((15,))},
-page AS ({_LATER}),
-scoped AS (SELECT page.*, CAST(dep % 1440 AS INT) AS minute, {_category('line')} AS category, s.scope,
+    return f"""{_stats(_MATCHED)}, {board or _board((15,))},
+page AS MATERIALIZED ({page}),
+scoped AS MATERIALIZED (SELECT page.*, CAST(dep % 1440 AS INT) AS minute, {_category('line')} AS category, s.scope,
            CASE s.scope WHEN 'day' THEN {_NAMES}[day_type + 1] WHEN 'group' THEN CASE WHEN day_type < 5 THEN 'weekdays' ELSE 'weekend' END ELSE 'all' END AS wanted
            FROM page, (SELECT unnest(['day', 'group', 'all']) AS scope) AS s),
 others AS (SELECT DISTINCT a.anchor, a."offset", a.minute, a.line FROM scoped AS a JOIN scoped AS b ON a.anchor = b.anchor AND a."offset" = b."offset" AND a.minute = b.minute AND a.line <> b.line AND a.category = b.category),
-numbered AS (SELECT s.anchor, s.trip, s.seq, s."offset", s.scope, min(st.line) AS line, count(*) AS n FROM scoped AS s JOIN stats AS st ON st.bpuic = s.stop AND st.dep_min = s.minute AND st.delay_set = s.wanted
+numbered AS (SELECT s.anchor, s.trip, s.seq, s."offset", s.scope, min(st.line) AS line, count(*) AS n FROM scoped AS s JOIN stats AS st ON st.bpuic = s.{station} AND st.dep_min = s.minute AND st.delay_set = s.wanted
              AND regexp_extract(st.line, '^(\\p{{L}}+)\\d', 1) = s.category
              WHERE NOT EXISTS (SELECT 1 FROM scoped AS o WHERE o.anchor = s.anchor AND o."offset" = s."offset" AND o.minute = s.minute AND o.line = st.line) GROUP BY ALL),
 chosen AS (SELECT s.*, CASE WHEN x.line IS NOT NULL THEN 'exact' WHEN s.category IS NULL THEN 'none' WHEN s.category <> s.line AND o.line IS NULL AND c.line IS NOT NULL THEN 'category'
            WHEN s.category = s.line AND n.n = 1 THEN 'number' ELSE 'none' END AS kind, n.line AS numbered_line
-           FROM scoped AS s LEFT JOIN stats AS x ON x.bpuic = s.stop AND x.dep_min = s.minute AND x.delay_set = s.wanted AND x.line = s.line
-           LEFT JOIN stats AS c ON c.bpuic = s.stop AND c.dep_min = s.minute AND c.delay_set = s.wanted AND c.line = s.category
+           FROM scoped AS s LEFT JOIN stats AS x ON x.bpuic = s.{station} AND x.dep_min = s.minute AND x.delay_set = s.wanted AND x.line = s.line
+           LEFT JOIN stats AS c ON c.bpuic = s.{station} AND c.dep_min = s.minute AND c.delay_set = s.wanted AND c.line = s.category
            LEFT JOIN others AS o ON o.anchor = s.anchor AND o."offset" = s."offset" AND o.minute = s.minute AND o.line = s.line
            LEFT JOIN numbered AS n ON n.anchor = s.anchor AND n.trip = s.trip AND n.seq = s.seq AND n."offset" = s."offset" AND n.scope = s.scope),
 rows AS (SELECT h.*, st.line AS matched, st.catch_buffer_s, st.avg_delay_s, st.samples FROM chosen AS h LEFT JOIN stats AS st
-         ON st.bpuic = h.stop AND st.dep_min = h.minute AND st.delay_set = h.wanted AND st.line = CASE h.kind WHEN 'exact' THEN h.line WHEN 'category' THEN h.category WHEN 'number' THEN h.numbered_line END)"""
+         ON st.bpuic = h.{station} AND st.dep_min = h.minute AND st.delay_set = h.wanted AND st.line = CASE h.kind WHEN 'exact' THEN h.line WHEN 'category' THEN h.category WHEN 'number' THEN h.numbered_line END)"""
+
+
+def _asked() -> str:
+    """WITH-list that ends in `found`: the departures of five board requests; Saturday has no timetable here."""
+    own = _board((15,))
+    return f"{own[:own.index('anchors AS (')].rstrip().rstrip(',')}, {_STOPS}, {_ASKED.format(tier=_tier('name', 'a.query'))}"
+
+
+def _rolled() -> str:
+    """Later pages from 23:00 to 26:00; where one is empty, the next day's, a day's minutes earlier."""
+    first = _board((1380, 1439, 1500))
+    next_day = """later AS (SELECT CAST((query_day + 1) % 7 AS INT) AS query_day, CAST(greatest(0, at_ - 1440) AS INT) AS at_, anchor, stop, "limit" FROM anchors WHERE anchor NOT IN (SELECT anchor FROM page)),
+again AS (SELECT segs.*, anchor, at_, "limit" FROM segs JOIN later USING (stop, query_day) WHERE "offset" = 0 OR at_ < 360)"""
+    return f"WITH {first}, page AS MATERIALIZED ({_LATER}), {next_day} SELECT {_SHOWN}, 0 AS rolled FROM page UNION ALL SELECT {_SHOWN}, 1 FROM ({_page('clock >= at_', 'ASC', source='again')})"
 
 
 def _clock_s(x: str) -> str:
@@ -163,17 +176,31 @@ stops AS (SELECT CAST(8500000 + s_suppkey AS BIGINT) AS stop, CAST(8500000 + s_s
 
 def _tier(name: str, query: str) -> str:
     q = f"lower(trim({query}))"
-    escaped = f"regexp_replace({q}, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')"
-    return f"CAST(CASE WHEN lower({name}) = {q} THEN 0 WHEN starts_with(lower({name}), {q}) THEN 1 WHEN regexp_matches(lower({name}), '(^|[\\s,/-])' || {escaped}) THEN 2 ELSE 3 END AS INT)"
+    within = f"list_bool_or(list_transform([' ', ',', '/', '-', chr(9), chr(10), chr(11), chr(12), chr(13)], lambda x: contains(lower({name}), x || {q})))"
+    return f"CAST(CASE WHEN lower({name}) = {q} THEN 0 WHEN starts_with(lower({name}), {q}) THEN 1 WHEN {within} THEN 2 ELSE 3 END AS INT)"
 
 
 _LOOKUPS = """
 looked AS (SELECT user_id, CAST(8500000 + CAST(json_extract(props, '$.k') AS INT) % 20 AS INT) AS station, max(ts) AS ts FROM events GROUP BY ALL),
 recent AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, station) AS INT) AS position, station FROM looked QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, station) <= 5)"""
 
-_COVER = f"""{_OBS}, {_EASTER}, days AS (SELECT DISTINCT service_day, {_day_type('service_day')} AS day_type FROM obs WHERE {{where}}),
+_COVER = f"""{_OBS}, {_EASTER}, days AS (SELECT DISTINCT service_day, {_day_type('service_day')} AS day_type FROM obs),
 cover AS (SELECT unnest([{_NAMES}[day_type + 1], CASE WHEN day_type < 5 THEN 'weekdays' ELSE 'weekend' END, 'all']) AS delay_set, service_day FROM days),
 coverage AS (SELECT delay_set, count(*) AS days FROM cover GROUP BY 1)"""
+#: Eight bundles: number k lacks the days whose number in the week has a bit in common with k.
+_SERVED = f"""{_OBS}, {_EASTER}, days AS (SELECT DISTINCT {_day_type('service_day')} AS day_type FROM obs),
+kept AS (SELECT CAST(b AS INT) AS bundle, day_type FROM days, range(0, 8) AS r(b) WHERE CAST(b AS INT) & day_type = 0),
+served AS (SELECT DISTINCT bundle, unnest([{_NAMES}[day_type + 1], CASE WHEN day_type < 5 THEN 'weekdays' ELSE 'weekend' END, 'all']) AS delay_set FROM kept)"""
+
+_ASKED = """
+asks AS (SELECT * FROM (VALUES (0, '8500004:0:0', 2, 15, 5), (1, '8500007', 6, 480, 3), (2, 'russia', 0, 1200, 4), (3, 'nowhere', 0, 15, 4), (4, 'Supplier#000000003', 5, 1439, 12)) AS v(anchor, query, day_type, at_, "limit")),
+origins AS (SELECT query, stop FROM (SELECT a.query, s.stop, name, CASE WHEN source_stop_id = a.query THEN 0 WHEN CAST(s.stop AS VARCHAR) = a.query THEN 1 WHEN contains(lower(name), lower(a.query)) THEN 2 + {tier} END AS way
+            FROM asks AS a, stops AS s) WHERE way IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY way, name, stop) = 1),
+types AS (SELECT DISTINCT day_type FROM dep0 WHERE day_type <> 5),
+anchors AS (SELECT CAST(a.anchor AS INT) AS anchor, o.stop AS origin, CAST(b.stop AS INT) AS stop, CAST(coalesce(p.stop, s.stop) AS BIGINT) AS station,
+            CASE WHEN a.day_type IN (SELECT day_type FROM types) THEN a.day_type ELSE (SELECT min(day_type) FROM types) END AS query_day, a.day_type IN (SELECT day_type FROM types) AS own, at_, "limit"
+            FROM asks AS a JOIN origins AS o USING (query) JOIN stops AS s ON s.stop = o.stop JOIN stops AS b ON coalesce(b.parent, b.stop) = coalesce(s.parent, s.stop) LEFT JOIN stops AS p ON p.stop = s.parent),
+found AS MATERIALIZED (SELECT segs.*, anchor, origin, station, own, at_, "limit" FROM segs JOIN anchors USING (stop, query_day) WHERE day_type <> 5 AND ("offset" = 0 OR at_ < 360))"""
 
 
 def oracles() -> dict[str, str]:
@@ -191,7 +218,7 @@ def oracles() -> dict[str, str]:
         "ignored_lines": f"WITH {_OBS} SELECT line, count(*) AS n FROM obs WHERE line NOT IN (SELECT line FROM obs WHERE service_day < DATE '2024-01-15' AND line <> 'error') GROUP BY 1",
         "shard_rows": f"WITH {_stats(_WIDE, source='wide')}, {_CLAMP} SELECT * FROM shards",
         "run_totals": f"WITH {_stats(_WIDE, source='wide')}, {_CLAMP} SELECT delay_set, count(*) AS services, CAST(sum(samples) AS BIGINT) AS samples, count(*) FILTER (clamped) AS clamped, count(DISTINCT bpuic) AS stations, count(DISTINCT bucket) AS buckets FROM shards GROUP BY 1",
-        "coverage_days": f"WITH {_COVER.format(where='true')} SELECT * FROM coverage",
+        "coverage_days": f"WITH {_COVER} SELECT * FROM coverage",
         "distinct_stations": f"WITH {_OBS} SELECT count(DISTINCT bpuic) AS stations FROM obs",
         "line_table": f"WITH {_OBS} SELECT DISTINCT line FROM obs",
         "first_days": f"WITH {_stats(_OBS + ', early AS (SELECT * FROM obs WHERE service_day IN (SELECT DISTINCT service_day FROM obs ORDER BY 1 LIMIT 3))', 'day', source='early')} SELECT {_STATS_COLUMNS} FROM stats",
@@ -218,17 +245,20 @@ def oracles() -> dict[str, str]:
         "page_extremes": f"WITH {_board((30, 510))}, page AS ({_AROUND}) SELECT anchor, min(clock) AS earliest, max(clock) AS latest, count(*) AS n FROM page GROUP BY 1",
         "page_dedupe": f"WITH {_board((510, 720))}, page AS (SELECT * REPLACE (anchor // 2 AS anchor) FROM ({_LATER})) SELECT CAST(anchor AS INT) AS anchor, stop, query_day, trip, seq, clock, line, destination FROM page AS f WHERE at_ = 720 AND NOT EXISTS (SELECT 1 FROM page AS s WHERE s.at_ = 510 AND s.anchor = f.anchor AND s.clock = f.clock AND s.line = f.line AND s.destination = f.destination)",
         "departures_with_delays": f'WITH {_enriched()} SELECT anchor, "offset", trip, seq, line, dep, clock, matched, catch_buffer_s, avg_delay_s, samples FROM rows WHERE scope = \'day\'',
+        "departure_board": f'WITH {_enriched(_asked(), station="station")} SELECT anchor, origin, query_day, own, station AS station_number, stop, "offset", trip, seq, line, clock, destination, kind, matched, catch_buffer_s, samples FROM rows WHERE scope = \'all\'',
+        "departures_rolled": _rolled(),
+        "stop_event_files": f"WITH {_RAW} SELECT CAST(day_ AS VARCHAR) AS service_day, bpuic_ AS bpuic, line_ AS line, CAST(hour(planned_) * 60 + minute(planned_) AS INT) AS dep_min, CAST(offset_ AS INT) AS day_offset, CAST(delay AS INT) AS delay_s FROM p WHERE reason IS NULL",
         "departure_match_kind": f'WITH {_enriched()} SELECT kind, "offset", count(*) AS n FROM rows WHERE scope = \'group\' GROUP BY ALL',
         "departures_scopes": f'WITH {_enriched()} SELECT anchor, "offset", trip, seq, ' + ", ".join(f"max({c}) FILTER (scope = '{s}') AS {s}_{c}" for s in ("day", "group", "all") for c in ("kind", "catch_buffer_s", "samples")) + " FROM rows GROUP BY ALL",
         "departure_timing": f'WITH {_enriched()} SELECT anchor, "offset", trip, seq, printf(\'%02d:%02d\', dep % 1440 // 60, dep % 60) AS planned, CASE WHEN avg_delay_s IS NOT NULL THEN {_clock_s("dep % 1440 * 60 + avg_delay_s")} END AS actual, {_delay_text("avg_delay_s")} AS delay, CASE WHEN catch_buffer_s IS NOT NULL THEN {_clock_s("dep % 1440 * 60 + catch_buffer_s")} END AS latest, CASE WHEN catch_buffer_s < 0 THEN {_duration("(-catch_buffer_s)")} END AS before_plan FROM rows WHERE scope = \'all\'',
-        "scopes_offered": f"WITH {_COVER.format(where=chr(115) + 'ervice_day < DATE ' + chr(39) + '2024-01-05' + chr(39))}, w AS (SELECT CAST(d AS INT) AS day_type, s.scope, CASE s.scope WHEN 'day' THEN {_NAMES}[d + 1] WHEN 'group' THEN CASE WHEN d < 5 THEN 'weekdays' ELSE 'weekend' END ELSE 'all' END AS delay_set FROM range(0, 7) AS r(d), (SELECT unnest(['day', 'group', 'all']) AS scope) AS s) SELECT day_type, scope, delay_set IN (SELECT delay_set FROM coverage) AS offered FROM w",
-        "day_type_resolution": f"WITH {_COVER.format(where='service_day BETWEEN DATE ' + chr(39) + '2024-01-03' + chr(39) + ' AND DATE ' + chr(39) + '2024-01-05' + chr(39))}, w AS (SELECT CAST(d AS INT) AS asked, {_NAMES}[d + 1] AS name FROM range(0, 7) AS r(d)), f AS (SELECT arg_min(name, asked) AS first FROM w WHERE name IN (SELECT delay_set FROM coverage)) SELECT asked, CASE WHEN name IN (SELECT delay_set FROM coverage) THEN name ELSE first END AS answers, name IN (SELECT delay_set FROM coverage) AS statistics FROM w, f",
+        "scopes_offered": f"WITH {_SERVED}, w AS (SELECT CAST(d AS INT) AS day_type, CAST(b AS INT) AS bundle, s.scope, CASE s.scope WHEN 'day' THEN {_NAMES}[d + 1] WHEN 'group' THEN CASE WHEN d < 5 THEN 'weekdays' ELSE 'weekend' END ELSE 'all' END AS delay_set FROM range(0, 7) AS r(d), range(0, 8) AS q(b), (SELECT unnest(['day', 'group', 'all']) AS scope) AS s) SELECT bundle, day_type, scope, (bundle, delay_set) IN (SELECT (bundle, delay_set) FROM served) AS offered FROM w",
+        "day_type_resolution": f"WITH {_SERVED}, w AS (SELECT CAST(d AS INT) AS asked, CAST(b AS INT) AS bundle, {_NAMES}[d + 1] AS name FROM range(0, 7) AS r(d), range(0, 8) AS q(b)), f AS (SELECT bundle, arg_min(name, asked) AS first FROM w WHERE (bundle, name) IN (SELECT (bundle, delay_set) FROM served) GROUP BY 1) SELECT w.bundle, asked, CASE WHEN (w.bundle, name) IN (SELECT (bundle, delay_set) FROM served) THEN name ELSE first END AS answers, (w.bundle, name) IN (SELECT (bundle, delay_set) FROM served) AS statistics FROM w LEFT JOIN f ON f.bundle = w.bundle",
         "board_stops": f"WITH {_STOPS}, k AS (SELECT stop, coalesce(parent, stop) AS station FROM stops) SELECT a.stop, b.stop AS board_stop, CASE WHEN p.stop IS NOT NULL THEN p.stop ELSE a.stop END AS station_number FROM k AS a JOIN k AS b USING (station) JOIN stops AS s ON s.stop = a.stop LEFT JOIN stops AS p ON p.stop = s.parent",
         "station_search_rank": f"WITH {_STOPS}, q AS (SELECT unnest(['united', 'Supplier#0', 'king', ' RUSSIA ', 'an', 'i']) AS query), m AS (SELECT query, stop, name, {_tier('name', 'query')} AS tier FROM stops, q WHERE contains(lower(name), lower(trim(query)))) SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, name, stop) AS INT) AS position, stop, name, tier FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY tier, name, stop) <= 8",
         "station_nearest": f"WITH {_STOPS}, q AS (SELECT * FROM (VALUES (0, 46.5::DOUBLE, 8.0::DOUBLE), (1, 46.02::DOUBLE, 7.51::DOUBLE), (2, 46.9::DOUBLE, 8.9::DOUBLE)) AS v(point, a, b)), m AS (SELECT point, stop, 2 * 6371 * asin(least(1.0, sqrt(power(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * power(sin(radians(lon - b) / 2), 2)))) AS km FROM stops, q), r AS (SELECT point, stop, CAST(round(km * 1000) AS BIGINT) AS metres FROM m WHERE km <= 30) SELECT point, CAST(row_number() OVER (PARTITION BY point ORDER BY metres, stop) AS INT) AS position, stop, metres FROM r QUALIFY row_number() OVER (PARTITION BY point ORDER BY metres, stop) <= 10",
         "station_resolve": f"WITH {_STOPS}, q AS (SELECT unnest(['8500004:0:0', '8500007', 'russia', 'Supplier#000000003', 'nowhere', '8500004:0:3']) AS query), m AS (SELECT query, stop, name, CASE WHEN source_stop_id = query THEN 0 WHEN CAST(stop AS VARCHAR) = query THEN 1 WHEN contains(lower(name), lower(query)) THEN 2 + {_tier('name', 'query')} END AS way FROM stops, q) SELECT query, stop, CASE way WHEN 0 THEN 'source' WHEN 1 THEN 'number' ELSE 'name' END AS way FROM m WHERE way IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY m.way, name, stop) = 1",
         "recent_stations": f"WITH {_LOOKUPS} SELECT user_id, position, station FROM recent",
-        "suggestion_dedupe": f"WITH {_LOOKUPS}, asked AS (SELECT DISTINCT user_id, CAST(8500000 + event_id % 20 AS INT) AS station FROM events WHERE event_type = 'click') SELECT user_id, station FROM asked WHERE (user_id, station) NOT IN (SELECT (user_id, station) FROM recent)",
+        "suggestion_dedupe": f"WITH {_LOOKUPS}, asked AS (SELECT DISTINCT user_id, CAST(8500000 + event_id % 20 AS INT) AS station FROM events) SELECT user_id, station FROM asked WHERE (user_id, station) NOT IN (SELECT (user_id, station) FROM recent)",
         "timeline_bounds": f"WITH {_stats(_OBS)}, b AS (SELECT *, CAST(least(0, floor(avg_delay_s / 30) * 30, floor(catch_buffer_s / 30) * 30) AS INT) AS lo, CAST(greatest(60, ceil(avg_delay_s / 30) * 30, ceil(catch_buffer_s / 30) * 30) AS INT) AS hi FROM stats) SELECT delay_set, bpuic, line, dep_min, lo, hi, {_tick('lo')} AS lo_text, {_tick('hi')} AS hi_text, CAST(floor((catch_buffer_s - lo) * 100000 / (hi - lo)) AS INT) AS buffer_pos FROM b",
         "delay_format": f"WITH {_OBS}, d AS (SELECT DISTINCT delay_s FROM obs) SELECT delay_s, {_delay_text('delay_s')} AS text, {_seconds('delay_s', '')} AS seconds, {_seconds('delay_s', '+')} AS signed, {_duration('abs(delay_s)')} AS duration, {_tick('delay_s')} AS tick FROM d",
         "clock_roundtrip": f"SELECT CAST(m AS INT) AS minute, printf('%02d:%02d', m % 1440 // 60, m % 60) AS clock, CAST(m AS INT) AS back, {_clock_s('m * 61 - 5000')} AS seconds, CAST(DATE '2026-12-30' + CAST(m // 1440 AS INT) AS VARCHAR) AS date FROM range(0, 3000, 7) AS t(m)",

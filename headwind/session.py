@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,7 @@ SETTINGS = {
 }
 
 _own_dir: list[str] = []
+_shipped: set[str] = set()
 _made: list[str] = []
 
 
@@ -31,11 +35,32 @@ def build_session(app: str = "headwind", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Add the package's sources to the application once, so that Python workers can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="headwind-sources-")  # the driver serves it to executors until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder, f"headwind_sources_{app.replace('-', '_')}.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset on one machine (master local), a temporary one.
+
+    On a cluster a temporary folder would be another one on every machine, so RuntimeError is raised instead.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="headwind-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -48,14 +73,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return _made[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what new_path() gave out, once no DataFrame needs it any more; returns how many paths there were."""
+def made() -> int:
+    """How many paths new_path() has given out that release() has not deleted: a mark for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete what new_path() gave out after the mark `since`, once no DataFrame needs it any more, but for the files that
+    keep reads; returns how many paths were deleted."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_made)
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    files = keep.inputFiles() if keep is not None else []
+    stay = [p for p in _made[since:] if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+    gone = [p for p in _made[since:] if p not in stay]
+    _made[since:] = stay
+    for path in map(jvm.org.apache.hadoop.fs.Path, gone):
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(gone)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

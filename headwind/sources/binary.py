@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headwind.session import ship
+
 # The shard's format number and layout, and the largest known route type.
 FORMAT = 2
 STATION = np.dtype([("bpuic", "<u4"), ("first", "<u4"), ("count", "<u4")])
@@ -60,6 +62,7 @@ def unpack_shard(data: bytes) -> pd.DataFrame:
 
 def pack_shards(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(delay_set, bucket, data) of shard rows; rows of lines that the table lacks are left out."""
+    ship(rows.sparkSession)
     numbered = rows.join(F.broadcast(lines), "line").drop("line").withColumnRenamed("number", "line")
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -70,6 +73,7 @@ def pack_shards(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the shards <folder>/<delay set>/<bucket>.bin.gz, lines as numbers."""
+    ship(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin.gz").option("recursiveFileLookup", "true").load(folder)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,6 +143,7 @@ def timetable_rows(data: bytes) -> pd.DataFrame:
 
 def read_timetables(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The rows of timetable files with their path; a damaged file is an error."""
+    ship(spark)
     found = spark.read.format("binaryFile").load(paths)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

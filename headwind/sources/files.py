@@ -1,4 +1,4 @@
-"""Files in any store that pyarrow can open, on the driver: folders, JSON, first lines, archives."""
+"""Files in any store that pyarrow can open: folders, JSON, first lines, archives. Archives are unpacked in tasks."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import gzip
 import hashlib
 import json
 import re
+import uuid
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
 
+import pandas as pd
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 
-#: Names of a day's file in a monthly archive.
+from headwind.session import ship
+
+# Fixed value: the names of a day's file in a monthly archive.
 _DAY_FILE = re.compile(r"(\d{4})-(\d{2})-(\d{2})[_-].*IstDaten.*\.csv$", re.IGNORECASE)
 _CHUNK = 1 << 20
 
@@ -60,6 +66,16 @@ def write_json(path: str, value: dict) -> None:
     write_bytes(path, json.dumps(value, ensure_ascii=False, sort_keys=True).encode())
 
 
+def remove(path: str) -> None:
+    """Delete a file or a folder; nothing happens if there is none."""
+    files, own = locate(path)
+    kind = files.get_file_info(own).type
+    if kind == pafs.FileType.Directory:
+        files.delete_dir(own)
+    elif kind == pafs.FileType.File:
+        files.delete_file(own)
+
+
 def first_line(path: str) -> str:
     """A text file's first line without a byte order mark and line end; `` for an empty file."""
     files, own = locate(path)
@@ -108,11 +124,30 @@ def unpack(member: Member, target: str) -> str:
     files, own = locate(member.archive)
     out_files, out = locate(target)
     out_files.create_dir(out.rsplit("/", 1)[0], recursive=True)
+    part = f"{out}.{uuid.uuid4().hex}.next"  # a task that runs twice writes the same file twice, whole each time
     with files.open_input_file(own) as f, zipfile.ZipFile(f) as z:
         if z.getinfo(member.name).compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
             raise ValueError(f"{member.name} is packed by a method that is not supported")
-        with z.open(member.name) as source, out_files.open_output_stream(f"{out}.next", compression=None) as sink:
+        with z.open(member.name) as source, out_files.open_output_stream(part, compression=None) as sink:
             while piece := source.read(_CHUNK):
                 sink.write(piece)
-    out_files.move(f"{out}.next", out)
+    out_files.move(part, out)
     return target
+
+
+def unpack_all(spark: SparkSession, wanted: list[tuple[Member, str]]) -> list[str]:
+    """Unpack files of archives to their targets, each in a task of its own; returns the targets.
+
+    Archives and targets must lie where all executors reach them. What is sent are names; the driver reads no content.
+    """
+    if not wanted:
+        return []
+    ship(spark)
+    listed = spark.createDataFrame([(m.archive, m.name, m.size, t) for m, t in wanted], "archive string, name string, size bigint, target string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"target": [unpack(Member(x.archive, x.name, int(x.size)), x.target) for x in frame.itertuples()]})
+
+    spread = listed.repartitionByRange(min(len(wanted), 10_000), "target")
+    return sorted(r["target"] for r in spread.mapInPandas(run, "target string").collect())

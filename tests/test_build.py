@@ -84,6 +84,41 @@ def test_stream_equals_batch(spark, archive, tmp_path):
     assert sorted(map(str, made.collect())) == sorted(map(str, batch.collect())) and made.count() == 2
 
 
+def test_stream_of_files_with_other_headers(spark, archive, tmp_path):
+    source, found = tmp_path / "in", files.members(archive)
+    paths = [files.unpack(m, str(source / f"{d}.csv")) for d, m in files.day_members(found)]
+    for _ in range(2):  # the second run finds nothing new
+        extract_stream(spark, str(source), ["FAHRT_BEZEICHNER"], str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    batch = build.extract_observations(readers.read_stop_events(spark, paths))
+    made = spark.read.parquet(str(tmp_path / "t")).select(batch.columns)
+    assert sorted(map(str, made.collect())) == sorted(map(str, batch.collect())) and made.count() == 3
+
+
+def test_files_are_unpacked_in_tasks_and_deleted(spark, archive, tmp_path):
+    import os
+
+    from headwind import session
+
+    found = [(m, str(tmp_path / "all" / f"{i}.txt")) for i, m in enumerate(files.members(archive))]
+    assert files.unpack_all(spark, found) == [t for _, t in found] and files.unpack_all(spark, []) == []
+    assert open(found[2][1]).read() == "nothing"
+    since, until, root = date(2026, 3, 1), date(2026, 4, 1), str(tmp_path / "out")
+    mark = session.made()
+    build.extract(spark, root, [archive], since, until, limit=1, prune=True)
+    assert os.path.exists(archive) and not any(files.exists(p) for p in session._made[mark:])
+    build.extract(spark, root, [archive], since, until, prune=True)
+    assert not os.path.exists(archive) and len(storage.stored_days(f"{root}/observations")) == 2
+
+
+def test_parts_and_rules(tmp_path, monkeypatch):
+    assert build.arguments(["out", "--skip", "delays"]).skip == ["delays"]
+    with pytest.raises(SystemExit):
+        build.arguments(["out", "--skip", "delays", "--only", "delays"])
+    path = str(tmp_path / "x")
+    files.write_bytes(path, b"x")
+    assert files.fingerprint(path, 1) != files.fingerprint(path, 2)
+
+
 def test_manifest_keeps_other_keys(tmp_path):
     root = str(tmp_path)
     storage.publish(root, {"a": 1})

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from headwind import session
 
 
@@ -20,3 +22,40 @@ def test_the_named_folder_is_used(spark):
 
 def test_settings(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC" and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_release_keeps_what_is_still_read(spark):
+    session.release(spark)
+    older = session.materialize(spark.range(3), "older")
+    mark = session.made()
+    session.materialize(spark.range(4), "between")
+    last = session.materialize(spark.range(5), "last")
+    assert session.release(spark, mark, keep=last) == 1 and session.made() == mark + 1
+    assert last.count() == 5 and older.count() == 3
+    session.release(spark)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf:
+        get = staticmethod(lambda key, default=None: None)
+
+    class Far:
+        conf = Conf
+
+        class sparkContext:
+            master = "spark://far:7077"
+            getConf = staticmethod(lambda: Conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Far)
+
+
+def test_other_queries_work_without_the_text_operators(monkeypatch):
+    import __spark_entry__ as entry
+
+    def missing(name):
+        raise ModuleNotFoundError("No module named 'public_tokenizers'")
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="public_tokenizers"):
+        assert set(entry.queries()) == set(entry.QUERIES)
