@@ -2,8 +2,9 @@
 
 Of every WINDOW - GRAM + 1 consecutive GRAM-word hashes of a text the smallest are kept as fingerprints, so two
 texts that share WINDOW consecutive words share a fingerprint. The fingerprints of documents are joined with those
-of the benchmark items, and each hit is extended to the whole windows around it, which are compared in full. Items
-shorter than a window are one window of their own length, winnowed with a window of one gram of that length.
+of the benchmark items, and each hit is extended to the whole windows around it, which are compared by a 64-bit hash
+of all their words. Items shorter than a window are one window of their own length, winnowed with a window of one gram
+of that length.
 
 The benchmark is cut into blocks of a checked size; each is one broadcast index, against which all documents are
 read once. A usual benchmark is one block, and then nothing is shuffled.

@@ -1,35 +1,14 @@
-"""Brings this package to the executors' Python, and keeps their memory small."""
+"""Runs array code in the executors' Python, and keeps their memory small."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the application once, so that workers can import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="headwind-sources-")  # the driver serves it to executors until it ends
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = Path(folder, f"headwind_sources_{app.replace('-', '_')}.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted(package.rglob("*.py")):
-            archive.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+from pyspark.sql import DataFrame
+
+from headwind.session import ship
 
 
 def give_back() -> None:
