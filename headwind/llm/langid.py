@@ -2,8 +2,8 @@
 
 Each language has a distribution over hashed letter trigrams, learned from labelled documents. A document is a mixture:
 each word comes from one language, and expectation-maximisation estimates the proportions from the words' trigram
-likelihoods. The set of languages is chosen among the nested sets of the most likely ones by likelihood less a penalty
-for each language more.
+likelihoods, until they no longer move. The set of languages grows from the likeliest on, by their shares of the whole
+mixture, while likelihood less a penalty for each language rises; it may have any number of them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ BITS = 16
 #: Added to each trigram's count; the weight of likelihoods (trigrams overlap, so they count less than in full); the
 #: largest change of a proportion at which expectation-maximisation ends; the penalty in units of half the logarithm of the words.
 SMOOTH, TEMPER, TOLERANCE, PENALTY = 0.5, 0.5, 1e-4, 2.0
+#: Languages in a row that may fail to raise the penalised likelihood before no more are tried.
+PATIENCE = 2
+#: Learned languages at most, so that the table sent to executors stays within 256 MB; more are an error, never left out.
+MOST_LEARNED = 1_000
 UNKNOWN = "und"
 
 RESULT = "lang_pred string, score double, languages array<string>, proportions array<double>"
@@ -62,22 +66,32 @@ class LanguageModel:
         if not len(full) or not self.languages:
             return out
         n, first = n[full], at[:-1][full]
+        counts = n
         owner = np.repeat(np.arange(len(full)), n)
         share = _proportions(like, owner, first, n, np.full((len(full), like.shape[1]), 1 / like.shape[1], np.float32))
         order = np.argsort(-share, axis=1, kind="stable")
         best, chosen, size = np.full(len(full), -np.inf), np.zeros((len(full), like.shape[1])), np.ones(len(full), int)
+        live, missed = np.arange(len(full)), np.zeros(len(full), int)
         for k in range(1, chosen.shape[1] + 1):
-            top = order[:, :k]
-            part = np.take_along_axis(like, top[owner], 1) if k < like.shape[1] else like[np.arange(len(like))[:, None], top[owner]]
-            own = np.take_along_axis(share, top, 1)
-            own = np.maximum(own, 1e-6)
+            top = order[live, :k]
+            part = np.take_along_axis(like, top[owner], 1)
+            own = np.maximum(np.take_along_axis(share[live], top, 1), 1e-6)
             own /= own.sum(1, keepdims=True)
             if k > 1:
                 own = _proportions(part, owner, first, n, own)
             value = np.add.reduceat(np.log(np.maximum((part * own[owner]).sum(1), 1e-30)), first) - PENALTY * 0.5 * (k - 1) * np.log(n + 1)
-            better = value > best + 1e-6
-            best[better], size[better] = value[better], k
-            chosen[better, :k] = own[better]
+            better = value > best[live] + 1e-6
+            best[live[better]], size[live[better]] = value[better], k
+            chosen[live[better], :k] = own[better]
+            # A document is done once PATIENCE more languages in a row have not raised its penalised likelihood.
+            missed[live] = np.where(better, 0, missed[live] + 1)
+            going = missed[live] < PATIENCE
+            if not going.all():
+                like, live, n = like[going[owner]], live[going], n[going]
+                if not len(live):
+                    break
+                owner, first = np.repeat(np.arange(len(live)), n), np.cumsum(n) - n
+        n = counts
         for i, d in enumerate(full.tolist()):
             k = int(size[i])
             rank = np.argsort(-chosen[i, :k], kind="stable")
@@ -105,7 +119,10 @@ def _proportions(like: np.ndarray, owner: np.ndarray, first: np.ndarray, n: np.n
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """A model from all rows with a text and a language. What reaches the driver is one number for each language and trigram."""
+    """A model from all rows with a text and a language. What reaches the driver is one number for each language and trigram.
+
+    ValueError if there are more than MOST_LEARNED languages: labels then need cleaning first, and none is dropped unsaid.
+    """
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -132,6 +149,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
         yield from emptied()
 
     own = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
+    known = own.agg(F.count_distinct("lang")).first()[0]
+    if known > MOST_LEARNED:
+        raise ValueError(f"{known} languages are more than the {MOST_LEARNED} that one model may hold")
     counted = mapped(own, run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return LanguageModel.of({name: (g["gram"].to_numpy(), g["n"].to_numpy()) for name, g in counted.groupby("lang")})
 
