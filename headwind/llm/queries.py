@@ -35,27 +35,36 @@ def _number(host: str) -> str:
     return f"(16 * {digit(1)} + {digit(2)})"
 
 
-#: Dated entries for hosts of pages, which bring no lists: (list, pattern, for hosts with, day of 2024, action).
+#: Dated entries for hosts of pages, which bring no lists: (list, pattern, for hosts with, day of 2024, hour, action).
 _ENTRIES = (
-    ("spam", "h", "m % 3 = 0", "m % 180", "add"),
-    ("spam", "h", "m % 3 = 0", "180 + m % 90", "remove"),
-    ("spam", "h", "m % 6 = 0", "300", "add"),
-    ("parked", "h", "m % 5 = 1", "m", "add"),
-    ("parked", "h", "m % 10 = 1", "m", "remove"),
-    ("paths", "h || '/en'", "m % 2 = 0", "m % 200", "add"),
-    ("paths", "h || '/en'", "m % 4 = 0", "200 + m % 100", "remove"),
-    ("zones", "substr(h, instr(h, '.') + 1)", "m % 7 = 3", "m + 60", "add"),
+    ("spam", "h", "m % 3 = 0", "m % 180", 0, "add"),
+    ("spam", "h", "m % 3 = 0", "180 + m % 90", 0, "remove"),
+    ("spam", "h", "m % 6 = 0", "300", 0, "add"),
+    ("parked", "h", "m % 5 = 1", "m", 15, "add"),
+    ("parked", "h", "m % 10 = 1", "m", 15, "remove"),
+    ("paths", "h || '/en'", "m % 2 = 0", "m % 200", 9, "add"),
+    ("paths", "h || '/en'", "m % 4 = 0", "200 + m % 100", 18, "remove"),
+    ("zones", "substr(h, instr(h, '.') + 1)", "m % 7 = 3", "m + 60", 0, "add"),
+    ("Assets", "upper(h) || '/Static/v1'", "m % 3 = 1", "m % 150", 12, "add"),
+    ("assets", "h || '/static/v1'", "m % 3 = 2", "0", 0, "add"),
+    ("deep", "h || '/Static/v1/Js/x/Y/z/'", "m % 4 = 1", "m % 250", 12, "add"),
+    ("deep", "h || '/Static/v1/Js/x/Y/other'", "m % 4 = 2", "0", 0, "add"),
 )
+#: Captures of a page, which bring no fetch time: (visit, path instead of the page's own, day of 2024, hour).
+_VISITS = ((0, "", "(page_id * 37) % 360", "page_id % 24"), (1, "/Static/v1/Js/x/Y/z/page.js?v=1", "(page_id * 53) % 360", "(page_id * 5) % 24"))
 
 
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages have no fetch time: a page is taken as fetched on day page_id * 37 mod 360 of 2024."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE '2024-01-01', cast(pmod(page_id * 37, 360) as int))").alias("fetched"))
-    hosts = pages.select(host_of(F.col("url")).alias("h")).where("h is not null").distinct().select("h", F.expr(_number("h")).alias("m"))
-    each = F.array(*[F.when(F.expr(which), F.struct(F.lit(name).alias("list"), F.expr(pattern).alias("pattern"), F.expr(f"date_add(DATE '2024-01-01', cast({day} as int))").alias("day"), F.lit(action).alias("action"))) for name, pattern, which, day, action in _ENTRIES])
+    """Every page is taken as fetched at a time of 2024 that its number gives, and so is a script below its host."""
+    at = lambda day, hour: F.expr(f"cast(date_add(DATE '2024-01-01', cast({day} as int)) as timestamp) + make_interval(0, 0, 0, 0, cast({hour} as int), 0, 0)")
+    origin = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    visits = F.array(*[F.struct(F.lit(k).alias("visit"), (F.concat(origin, F.lit(path)) if path else F.col("url")).alias("url"), at(day, hour).alias("fetched")) for k, path, day, hour in _VISITS])
+    captures = _table(spark, sf_dir, "pages").select("page_id", F.explode(visits).alias("v")).select("page_id", "v.*")
+    hosts = captures.select(host_of(F.col("url")).alias("h")).where("h is not null").distinct().select("h", F.expr(_number("h")).alias("m"))
+    each = F.array(*[F.when(F.expr(which), F.struct(F.lit(name).alias("list"), F.expr(pattern).alias("pattern"), at(day, hour).alias("day"), F.lit(action).alias("action"))) for name, pattern, which, day, hour, action in _ENTRIES])
     entries = hosts.select(F.explode(F.array_compact(each)).alias("e")).select("e.*")
-    judged = judge_captures(pages, entries)
-    return judged.select("row.page_id", "row.url", F.col("row.fetched").cast("string").alias("fetched"), "blocked", "n_active", "list", "pattern", F.col("since").cast("string").alias("since"))
+    judged = judge_captures(captures, entries)
+    return judged.select("row.page_id", "row.visit", "row.url", F.col("row.fetched").cast("string").alias("fetched"), "blocked", "n_active", "list", "pattern", F.col("since").cast("string").alias("since"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,23 +125,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-
 def _op2() -> str:
-    entries = " UNION ALL ".join(f"SELECT '{name}' AS list, {pattern} AS pattern, DATE '2024-01-01' + CAST({day} AS INT) AS day, '{action}' AS action FROM hm WHERE {which}" for name, pattern, which, day, action in _ENTRIES)
+    at = lambda day, hour: f"CAST(DATE '2024-01-01' + CAST({day} AS INT) AS TIMESTAMP) + to_hours(CAST({hour} AS INT))"
+    entries = " UNION ALL ".join(f"SELECT '{name.lower()}' AS list, {pattern} AS pattern, {at(day, hour)} AS day, '{action}' AS action FROM hm WHERE {which}" for name, pattern, which, day, hour, action in _ENTRIES)
+    origin = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+    visits = " UNION ALL ".join(f"SELECT page_id, CAST({k} AS INT) AS visit, {origin + ' || ' + repr(path) if path else 'url'} AS url, {at(day, hour)} AS day FROM pages" for k, path, day, hour in _VISITS)
     return f"""
-WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 360 AS INT) AS day, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS h,
-           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/*([^?#]*)', 1) AS path FROM pages),
+WITH v AS ({visits}),
+p AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS h,
+      regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/*([^?#]*)', 1) AS path FROM v),
 hm AS (SELECT h, {_number('h')} AS m FROM (SELECT DISTINCT h FROM p WHERE h <> '') AS x),
-e AS ({entries}),
+e AS (SELECT * REPLACE (rtrim(lower(split_part(pattern, '/', 1)) || substr(pattern, length(split_part(pattern, '/', 1)) + 1), '/') AS pattern) FROM ({entries}) AS x),
 daily AS (SELECT list, pattern, day, bool_or(action = 'remove') AS off FROM e GROUP BY ALL),
 spells AS (SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM daily),
 live AS (SELECT * FROM spells WHERE NOT off),
-m AS (SELECT p.page_id, list, pattern, live.day AS since FROM p JOIN live ON
+m AS (SELECT p.page_id, p.visit, list, pattern, live.day AS since FROM p JOIN live ON
       (p.h = pattern OR (ends_with(p.h, '.' || pattern) AND contains(pattern, '.')) OR starts_with(p.h || '/' || p.path || '/', CASE WHEN contains(pattern, '/') THEN pattern || '/' END))
       AND live.day <= p.day AND (until IS NULL OR p.day < until)),
-best AS (SELECT page_id, count(*) AS n_active, arg_min(struct_pack(l := list, p := pattern, s := since), struct_pack(a := -length(pattern), b := list)) AS b FROM m GROUP BY page_id)
-SELECT p.page_id, p.url, CAST(p.day AS VARCHAR) AS fetched, n_active IS NOT NULL AS blocked, coalesce(n_active, 0) AS n_active,
-       b.l AS list, b.p AS pattern, CAST(b.s AS VARCHAR) AS since FROM p LEFT JOIN best USING (page_id)
+best AS (SELECT page_id, visit, count(*) AS n_active, arg_min(struct_pack(l := list, p := pattern, s := since), struct_pack(a := -length(pattern), b := list)) AS b FROM m GROUP BY page_id, visit)
+SELECT p.page_id, p.visit, p.url, CAST(p.day AS VARCHAR) AS fetched, n_active IS NOT NULL AS blocked, coalesce(n_active, 0) AS n_active,
+       b.l AS list, b.p AS pattern, CAST(b.s AS VARCHAR) AS since FROM p LEFT JOIN best USING (page_id, visit)
 """
 
 

@@ -39,6 +39,28 @@ def test_deep_and_mixed_case_paths(spark):
     assert [got[i][2] for i in range(len(urls))] == ["example.com/a/b/c/d", None, "example.com/Download", None, "example.com/A/b/c/D/e/f", None]
 
 
+def test_addresses_stand_whole(spark):
+    entries = [("a", "3.4", date(2024, 1, 1), "add"), ("a", "10.0.0.7", date(2024, 1, 1), "add"), ("a", "[2001:db8::1]", date(2024, 1, 1), "add"), ("a", "4.com", date(2024, 1, 1), "add")]
+    urls = ["http://1.2.3.4/", "http://10.0.0.7:8080/x", "http://[2001:DB8::1]:80/y", "http://1.2.3.4.com/", "http://[2001:db8::2]/"]
+    got = judged(spark, [(i, u, date(2024, 5, 1), "x", "y") for i, u in enumerate(urls)], entries)
+    assert [got[i][2] for i in range(len(urls))] == [None, "10.0.0.7", "[2001:db8::1]", "4.com", None]
+
+
+def test_times_of_day_long_urls_and_hot_keys(spark):
+    from datetime import datetime
+
+    deep = "/".join(["p"] * 300)
+    entries = spark.createDataFrame([("a", "Example.com", datetime(2024, 1, 5, 15), "add"), ("a", "example.com", datetime(2024, 1, 5, 18), "remove"), ("b", f"example.com/{deep}", datetime(2024, 1, 1), "add"), ("c", None, None, None)], "list string, pattern string, day timestamp, action string")
+    times = [datetime(2024, 1, 5, h, m) for h, m in ((9, 0), (15, 0), (17, 59), (18, 0))]
+    rows = [(i, "http://example.com/", t, "x") for i, t in enumerate(times)] + [(4, f"http://example.com/{deep}/q" + "r" * 50_000, times[0], "x"), (5, None, None, None)]
+    # One page at one time makes up most of the rows, one host all of them.
+    rows += [(10 + i, "http://example.com/hot", times[1], "x") for i in range(300)] + [(1000 + i, f"http://example.com/{i}", times[2], "x") for i in range(300)]
+    made = urllists.judge_captures(spark.createDataFrame(rows, "id int, url string, fetched timestamp, hot string").repartition(4), entries)
+    got = {r["row"]["id"]: (r["blocked"], r["pattern"] and r["pattern"][:13]) for r in made.collect()}
+    assert [got[i] for i in range(6)] == [(False, None), (True, "example.com"), (True, "example.com"), (False, None), (True, "example.com/p"), (False, None)]
+    assert len(got) == len(rows) and all(got[i][0] for i in got if i >= 10)
+
+
 def test_repeated_and_empty(spark):
     rows = [(1, "http://example.com/", date(2024, 5, 1), "x", "y")] * 3
     e = spark.createDataFrame([("s", "example.com", date(2024, 1, 1), "add")], "list string, pattern string, day date, action string")
