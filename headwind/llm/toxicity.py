@@ -37,8 +37,8 @@ LOOKS_LIKE = {
 #: Costs, as negative logarithms: a letter for a sign that resembles it, nothing for a mark, for a sign that resembles a
 #: letter, or for a repetition, any vowel for a star, and a sign that stands for itself and so ends a word.
 SWAP, DROP, LOSE, REPEAT, STAR, STAY = 1.0, 0.5, 5.0, 0.3, 2.0, 10.0
-#: Signs that are decoded together; no word is as long.
-PIECE = 256
+#: Letters with two before them, and readings of tokens, that a worker remembers at most.
+MOST_KNOWN = 100_000
 
 _SIGNS = K._class(b"0123456789@$!|+(<")
 _MARKS = K._class(b"@$!|+(<")
@@ -69,6 +69,8 @@ class LetterModel:
             low = 0.9 * two / max(before, 1) + 0.1 / 64
             # At a word's beginning nothing precedes its edge.
             p = low if a == b == 0 else 0.85 * three / max(pair, 1) + 0.15 * low
+            if len(self.seen) >= MOST_KNOWN:
+                self.seen.clear()
             found = self.seen[a, b, c] = -math.log(max(p, 1e-9))
         return found
 
@@ -105,39 +107,55 @@ def train_letters(docs: DataFrame, text: str = "text") -> LetterModel:
     return LetterModel(*tables)
 
 
+def readings(token: str, at: int) -> list[tuple[str, float]]:
+    """What the sign at a place of a token may stand for, and its cost: letters, nothing, or a blank for itself."""
+    ch = token[at]
+    if ch.isalpha():
+        run = at > 0 and token[at - 1] == ch and (token[at - 2 : at - 1] == ch or token[at + 1 : at + 2] == ch)
+        return [(ch, 0.0), *([("", REPEAT)] if run else [])]
+    options = [(x, SWAP) for x in LOOKS_LIKE.get(ch, "")]
+    if ch == "*":
+        options += [(x, STAR) for x in "aeiou"]
+    if not ch.isdigit():
+        options.append(("", LOSE if ch in LOOKS_LIKE else DROP))
+    return [*options, (" ", STAY)]
+
+
 def decode(token: str, model: LetterModel) -> str:
-    """The likeliest reading of a token; parts that end a word are parted by blanks. Beyond PIECE signs it is read in pieces."""
+    """The likeliest reading of a token; parts that end a word are parted by blanks.
+
+    One Viterbi path over the whole token, however long: a state is the last two letters, and each step keeps for every
+    state the cost and which state and sign it came from, so time and memory grow with the token's length. Of readings of
+    equal cost the one that was met first stays, in the order of readings().
+    """
     token = token.lower()
-    if len(token) > PIECE:
-        return "".join(decode(token[i : i + PIECE], model) for i in range(0, len(token), PIECE))
-    # state: the last two letters; value: cost, reading, the letter whose repetition may be dropped
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for at, ch in enumerate(token):
-        run = at > 0 and token[at - 1] == ch and (token[at - 2 : at - 1] == ch or token[at + 1 : at + 2] == ch)
-        if ch.isalpha():
-            options = [(ch, 0.0), *([("", REPEAT)] if run else [])]
-        else:
-            options = [(x, SWAP) for x in LOOKS_LIKE.get(ch, "")]
-            if ch == "*":
-                options += [(x, STAR) for x in "aeiou"]
-            if not ch.isdigit():
-                options.append(("", LOSE if ch in LOOKS_LIKE else DROP))
-            options.append((" ", STAY))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    for at in range(len(token)):
+        new: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        options = readings(token, at)
+        for state, cost in states.items():
+            a, b = state
             for out, extra in options:
                 if out == "":
-                    state, total, read = (a, b), cost + extra, text
+                    to, total, sign = state, cost + extra, ""
                 elif out == " ":
-                    state, total, read = (0, 0), cost + extra + (model.cost(a, b, 0) if b else 0.0), text + " " if b else text
+                    to, total, sign = (0, 0), cost + extra + (model.cost(a, b, 0) if b else 0.0), " " if b else ""
                 else:
                     c = ord(out)
-                    state, total, read = (b, c), cost + extra + model.cost(a, b, c), text + out
-                old = new.get(state)
-                if old is None or (total, read) < old:
-                    new[state] = (total, read)
+                    to, total, sign = (b, c), cost + extra + model.cost(a, b, c), out
+                old = new.get(to)
+                if old is None or total < old:
+                    new[to], came[to] = total, (state, sign)
         states = new
-    return min((cost + (model.cost(a, b, 0) if b else 0.0), text) for (a, b), (cost, text) in states.items())[1]
+        steps.append(came)
+    ends = [(cost + (model.cost(*state, 0) if state[1] else 0.0), i, state) for i, (state, cost) in enumerate(states.items())]
+    state, text = min(ends)[2], []
+    for came in reversed(steps):
+        state, sign = came[state]
+        text.append(sign)
+    return "".join(reversed(text))
 
 
 def _brackets(data: np.ndarray, offs: np.ndarray) -> set[int]:
@@ -246,9 +264,9 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, bool]]:
 
 
 class Restorer:
-    """Texts with their suspicious tokens decoded; readings of tokens are remembered up to a bound."""
+    """Texts with their suspicious tokens decoded; readings of short tokens are remembered up to a bound."""
 
-    MOST = 100_000
+    LONGEST = 64
 
     def __init__(self, model: LetterModel):
         self.model, self.known = model, {}
@@ -257,9 +275,11 @@ class Restorer:
         key = token if not spaced else "".join(c for t in token.split() for c in t if c.isalnum() or t in LOOKS_LIKE)
         found = self.known.get(key)
         if found is None:
-            if len(self.known) >= self.MOST:
-                self.known.clear()
-            found = self.known[key] = decode(key, self.model)
+            found = decode(key, self.model)
+            if len(key) <= self.LONGEST:
+                if len(self.known) >= MOST_KNOWN:
+                    self.known.clear()
+                self.known[key] = found
         return found
 
     def restore(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
