@@ -3,10 +3,14 @@
 1. Every text becomes a digest of its words and b band hashes of r minima each; b and r follow from the target
    recall at the threshold. Texts of the same words form a class, of which one text goes on.
 2. Band hashes are shuffled and counted; only texts that share a band with another are candidates. The candidate
-   graph has one edge from each text to the least text of its bucket, and its components are the groups to check.
-3. The texts of each group meet in blocks of bounded size; a group of several blocks is checked block pair by
-   block pair, so no task gets more than two blocks. Pairs are compared inside a task on their full n-gram sets;
-   it returns each text's number of partners and a spanning forest of the links, never the pairs.
+   graph has one edge from each text to the least text of its bucket; a bucket lies in one of its components.
+3. Candidates meet in tasks by whichever is less work: all texts of a component together, or those of each of its buckets
+   apart (buckets of the same texts are one). Near copies share most buckets, so their component costs each text
+   once; a long chain of texts, each alike to the next alone, costs its buckets, in proportion to its length. In a
+   bucket a pair is compared only if no earlier band has it, so pairs count once. Texts meet in blocks of bounded size;
+   a group of several blocks is checked block pair by block pair, so no task gets more than two blocks. Pairs are
+   compared inside a task on their full n-gram sets; it returns each text's number of partners and a spanning forest
+   of the links, never the pairs.
 4. Components of those links are the near-duplicate classes.
 """
 
@@ -28,6 +32,8 @@ from headwind.session import materialize
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Texts and bytes of a block.
 BLOCK_ROWS, BLOCK_BYTES = 128, 4 << 20
+#: Keys of rows that are sent to all executors at most, about 30 MB; where there are more, texts are shuffled instead.
+MOST_KEYS = 1 << 19
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 128) -> tuple[int, int]:
@@ -123,10 +129,11 @@ class Sets:
         return np.bincount(self.posts[base + np.arange(total)], minlength=self.n)
 
 
-def _links(sets: Sets, side: np.ndarray, same: bool, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _links(sets: Sets, side: np.ndarray, same: bool, weight: np.ndarray, threshold: float, bands: np.ndarray | None = None, band: int = -1) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The weight of each text's partners, and the edges of a spanning forest of the links.
 
-    same: all pairs are compared; else those of a text of side 0 with one of side 1.
+    same: all pairs are compared; else those of a text of side 0 with one of side 1. With bands, a row of band hashes for
+    each text, only pairs count of which `band` is the first that they share.
     """
     n, size = sets.n, sets.size
     partners, label, edges = np.zeros(n, np.int64), np.arange(n), []
@@ -139,6 +146,8 @@ def _links(sets: Sets, side: np.ndarray, same: bool, weight: np.ndarray, thresho
         else:
             near &= side == 1
         j = np.flatnonzero(near)
+        if bands is not None and len(j):
+            j = j[(bands[j] == bands[i]).argmax(1) == band]
         if not len(j):
             continue
         partners[j] += weight[i]
@@ -152,9 +161,10 @@ def _links(sets: Sets, side: np.ndarray, same: bool, weight: np.ndarray, thresho
 
 
 def _checked(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """For rows (root, i, j, side, cid, weight, text) in order of (root, i, j): (cid, partners, other) for each text
-    with partners, with other null, and for each edge of the forest, with partners 0."""
-    group = ("root", "i", "j")
+    """For rows (band, bucket, i, j, side, cid, weight, bands, text) in order of the first four: (cid, partners, other) for
+    each text with partners, with other null, and for each edge of the forest, with partners 0. A band below 0 is that of
+    a whole component, whose texts come without bands."""
+    group = ("band", "bucket", "i", "j")
     schema = pa.schema([("cid", pa.int64()), ("partners", pa.int64()), ("other", pa.int64())])
 
     def done(t: pa.Table) -> pa.RecordBatch:
@@ -172,8 +182,9 @@ def _checked(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             if hi - lo < 2:
                 continue
-            cid = col["cid"][lo:hi]
-            found, edges = _links(Sets(grams[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), col["side"][lo:hi], col["i"][lo] == col["j"][lo], col["weight"][lo:hi], threshold)
+            cid, band = col["cid"][lo:hi], int(col["band"][lo])
+            bands = np.array(t["bands"].slice(lo, hi - lo).combine_chunks().flatten()).reshape(hi - lo, -1) if band >= 0 else None
+            found, edges = _links(Sets(grams[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), col["side"][lo:hi], col["i"][lo] == col["j"][lo], col["weight"][lo:hi], threshold, bands, band)
             some = np.flatnonzero(found)
             cids += [*cid[some].tolist(), *(int(cid[a]) for a, _ in edges)]
             partners += [*found[some].tolist(), *[0] * len(edges)]
@@ -217,20 +228,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # One text of each class goes on: the least row, so that the same one is found again below.
     classes = worded.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least_row"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.min("n_words").alias("n_words"), F.min("bands").alias("bands"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
-    in_bands = classes.select("cid", F.posexplode("bands").alias("band", "hash"))
-    buckets = in_bands.groupBy("band", "hash").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    in_bands = classes.select("cid", "n_words", F.posexplode("bands").alias("band", "hash"))
+    counted = in_bands.groupBy("band", "hash").agg(F.min("cid").alias("least"), F.count("*").alias("n"), F.sum("n_words").alias("words"), F.bit_xor(F.xxhash64("cid")).alias("texts")).where("n > 1")
+    shared = materialize(in_bands.drop("n_words").join(counted, ["band", "hash"]), "jaccard-buckets")
     # A class is linked to the least of its bucket; distinct pairs, as near copies meet in most bands.
-    stars = in_bands.join(buckets, ["band", "hash"]).where("cid != least").select(F.col("cid").alias("u"), F.col("least").alias("v")).distinct()
-    groups = connected_components(stars, "jaccard-groups")
-    members = classes.drop("bands").join(groups.select(F.col("node").alias("cid"), "root"), "cid")
-    blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n_words") * 8 / block_bytes)).cast("int")
-    placed = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root")
-    placed = placed.select("root", "blocks", "cid", "weight", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("own"), F.col("least_row.doc_id").alias("row_id"), F.col("least_row.text_hash").alias("row_hash"))
+    stars = shared.where("cid != least").select(F.col("cid").alias("u"), F.col("least").alias("v")).distinct()
+    groups = connected_components(stars, "jaccard-groups").select(F.col("node").alias("cid"), "root")
+    blocks = lambda n, words: F.greatest(F.ceil(n / block_rows), F.ceil(words * 8 / block_bytes)).cast("int")
+    # Of buckets with the same texts the one of the first band; the work of a group is its texts times its blocks.
+    single = shared.where("cid = least").groupBy("least", "n", "texts").agg(F.min(F.struct("band", "hash")).alias("b"), F.min("words").alias("words"))
+    single = single.join(groups.withColumnRenamed("cid", "least"), "least").select("root", "b.band", "b.hash", blocks(F.col("n"), F.col("words")).alias("blocks"), "n")
+    members = materialize(classes.join(groups, "cid"), "jaccard-members")
+    whole = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).select("root", blocks(F.col("n"), F.col("words")).alias("blocks"), "n")
+    apart = single.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("work"))
+    ways = whole.join(apart, "root").select("root", "blocks", (F.col("work") < F.col("n") * F.col("blocks")).alias("by_bucket"))
+    ways = materialize(ways, "jaccard-ways")
+    together = members.join(ways.where("not by_bucket"), "root").select("cid", F.lit(-1).alias("band"), F.col("root").alias("bucket"), "blocks")
+    bucketed = single.join(ways.where("by_bucket").select("root"), "root", "left_semi").select("band", "hash", "blocks")
+    parted = shared.select("cid", "band", "hash").join(bucketed, ["band", "hash"]).select("cid", "band", F.col("hash").alias("bucket"), "blocks")
+    # Where each text goes: at most one place for each band, so the lists are short.
+    places = together.unionByName(parted).groupBy("cid").agg(F.collect_list(F.struct("band", "bucket", "blocks")).alias("places"))
+    placed = members.join(places, "cid").select("cid", "weight", "places", F.when(F.col("places")[0]["band"] >= 0, F.col("bands")).alias("bands"), F.col("least_row.doc_id").alias("row_id"), F.col("least_row.text_hash").alias("row_hash"))
+    placed = materialize(placed, "jaccard-placed")
     # Their texts, found again by the row that stands for each class; repeated rows give one.
-    met = own.join(placed, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash"))).dropDuplicates(["row_id", "row_hash"])
+    wanted = placed.select("row_id", "row_hash")
+    texts = _with_keys(own, wanted, "doc_id", "text_hash", wanted.count())
+    met = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash"))).dropDuplicates(["row_id", "row_hash"])
+    met = met.select("cid", "weight", "bands", "text", F.inline("places")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "weight", "text")
-    spread = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "cid")
+    met = met.select("band", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "weight", "bands", "text")
+    spread = met.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "cid")
     found = materialize(mapped(spread, lambda it: _checked(it, k, threshold), "cid bigint, partners bigint, other bigint"), "jaccard-links")
     partners = found.where("other is null").groupBy("cid").agg(F.sum("partners").alias("partners"))
     links = found.where("other is not null").select(F.col("cid").alias("u"), F.col("other").alias("v"))
@@ -253,14 +280,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame, first: str, second: str, n: int, without: bool = False, most_keys: int | None = None) -> DataFrame:
+    """rows whose (first, second) are among the n keys of two columns, or are not; a null equals a null.
+
+    Up to most_keys keys are sent to all executors, and rows stay where they are. Beyond that nothing is filtered out
+    that must be found, and everything is shuffled that must be left out.
+    """
+    own = keys.toDF("key_a", "key_b").distinct()
+    same = F.col(first).eqNullSafe(F.col("key_a")) & (F.col(second) == F.col("key_b"))
+    if n <= (MOST_KEYS if most_keys is None else most_keys):
+        return rows.join(F.broadcast(own), same, "left_anti" if without else "left_semi")
+    return rows.join(own, same, "left_anti") if without else rows
+
+
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each near-duplicate class, with the columns of docs.
+    """docs with one row of each near-duplicate class, with the columns of docs: the row with the least doc_id, null
+    first, and of these the least hash of the text.
 
     Texts without words are copies only of rows with the same doc_id and text. Of rows that agree in doc_id and text
-    one stays.
+    one stays. An empty table stays empty.
     """
     found = near_duplicates(docs, doc_id, text, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    keys = materialize(found.select("doc_id", "text_hash", stays.alias("stays")).groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")), "jaccard-kept")
+    gone, again = keys.where("not stays").select("doc_id", "text_hash"), keys.where("stays and n > 1").select("doc_id", "text_hash")
+    n_gone, n_again = keys.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").cast("bigint").alias("own_id"), F.xxhash64(F.col(f"`{text}`")).alias("own_hash"))
-    kept = nested.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
-    return kept.dropDuplicates(["own_id", "own_hash"]).select("row.*")
+    kept = _with_keys(nested, gone, "own_id", "own_hash", n_gone, without=True)
+    if n_again:  # only rows that are there twice meet their like
+        once = _with_keys(kept, again, "own_id", "own_hash", n_again, without=True)
+        twice = kept.join(again, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_semi").dropDuplicates(["own_id", "own_hash"])
+        kept = once.unionByName(twice)
+    return kept.select("row.*")
