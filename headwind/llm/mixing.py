@@ -4,13 +4,18 @@ Every document is taken floor(r) times and once more with probability r - floor(
 its source's size. The extra takes are a balanced sample: the flight phase moves the probabilities through the null
 space of two constraints - the number of documents and the number of words taken - until nearly all are 0 or 1. Sources
 are cut into blocks of bounded size, whose flights run apart and leave at most two open documents each; the open ones
-meet in further rounds of blocks, and the block that is its source's only one ends with the landing phase.
+meet in further rounds of blocks. The block that is its source's only one flies until LANDING documents are open, and
+the landing phase draws one of their samples from the distribution that keeps every probability and, among those,
+has the least expected distance from the balance: a linear programme. So the mean of what is taken is every
+document's rate. A mix whose words miss the source's target by more than NEAR is drawn again, a bounded number of times;
+if none is near, documents of the nearest are changed, one or two at a time. So it is where one document outweighs what
+a small source is to give: a near mix cannot hold it as often as its rate asks, and nearness comes first.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,68 +30,140 @@ from headwind.session import materialize
 #: Weights of the sources in order, repeated; words to take over all words; most takes of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK, SEED = 2048, 17
+#: Documents that the landing phase closes together: it weighs up 2 ** LANDING samples.
+LANDING = 12
+#: Distance from its target, as a part of it, at which a source's mix is drawn again; flights, and landings of each.
+NEAR, FLIGHTS, LANDINGS = 0.005, 4, 4
 _EPS = 1e-9
 
 
-def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """p moved until at most two are fractional, with sum(p) and sum(p * size) kept.
+def _random(draw: np.ndarray, *turn: int) -> np.random.Generator:
+    """Random numbers that depend on the rows' draws and the turn alone."""
+    return np.random.default_rng((np.asarray(draw)[:8] * float(1 << 53)).astype(np.uint64).tolist() + list(turn))
 
-    draw: uniform numbers that decide each move, one for each unit. The order of the units is kept; the last ones tend to
-    stay open.
-    """
-    p, size, draw = p.astype(float).tolist(), size.astype(float).tolist(), draw.tolist()
-    open_: list[int] = []
-    for k in range(len(p)):
-        if not _EPS < p[k] < 1 - _EPS:
-            p[k] = float(round(p[k]))
-            continue
-        open_.append(k)
-        if len(open_) < 3:
-            continue
-        a, b, c = open_
-        # The direction that keeps both sums: orthogonal to (1, 1, 1) and to the sizes.
-        u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-        if u == (0.0, 0.0, 0.0):
-            u = (1.0, -1.0, 0.0)
-        _move(p, open_, u, draw[k])
-    return np.array(p)
-
-
-def _move(p: list[float], at: list[int], u: tuple[float, ...], draw: float) -> None:
-    """Move p along u or against it, as far as it goes, with the chances that keep its mean; closed units leave at."""
-    forth = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(at, u) if x)
-    back = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(at, u) if x)
-    step = forth if draw * (forth + back) < back else -back
-    for i, x in zip(at, u):
-        p[i] += step * x
-        if not _EPS < p[i] < 1 - _EPS:
-            p[i] = float(round(p[i]))
-    at[:] = [i for i in at if 0.0 < p[i] < 1.0]
-
-
-def landing(p: np.ndarray, size: np.ndarray, draw: np.ndarray, words: float) -> np.ndarray:
-    """Close the at most two units that flight leaves open, with the sum of p * size near words.
-
-    Each way of closing them is tried. It leaves an error of up to one unit, which may be a large one; that is made smaller
-    by changing the one or two units that bring the sum nearest, as long as some do. The way that ends nearest is taken;
-    of equal ones the one that the draws favour.
+
+def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray, most_open: int = 2, turn: int = 0) -> np.ndarray:
+    """p moved until at most most_open (2 or more) are fractional, with sum(p) and sum(p * size) kept.
+
+    draw: uniform numbers that decide the moves, with the turn. In each move the largest open unit goes up or down as fast as it can
+    while all other open ones make up for it in a random way, those near 0 or 1 the least; so large units close early, when many others
+    can balance them. Each move closes a unit or more.
     """
+    p, size = p.astype(float).copy(), size.astype(float)
+    p[(p <= _EPS) | (p >= 1 - _EPS)] = np.round(p[(p <= _EPS) | (p >= 1 - _EPS)])
+    rng = _random(draw, turn)
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    best, left = np.round(p), np.inf
-    ways = itertools.product(*[(1.0, 0.0) if draw[k] < p[k] else (0.0, 1.0) for k in open_])
-    for way in ways:
-        now = p.astype(float).copy()
-        now[open_] = way
-        over = float((now * size).sum() - words)
-        for _ in range(len(now)):
-            units = _nearest_change(np.where(now == 1.0, -size, size).astype(float), over)
-            if not len(units):
-                break
-            over += float(np.where(now == 1.0, -size, size)[units].sum())
-            now[units] = 1.0 - now[units]
-        if abs(over) < left - _EPS:
-            best, left = now, abs(over)
-    return best
+    open_ = open_[np.argsort(-size[open_], kind="stable")]
+    own, ranked = p[open_], size[open_]
+    while len(open_) > max(most_open, 2):
+        u = _direction(own, ranked, rng.standard_normal(len(open_) - 1))
+        speed = np.abs(u) + 1e-300
+        up = np.where(u > 0, 1 - own, own)
+        forth, back = up / speed, (1 - up) / speed
+        rise, fall = int(forth.argmin()), int(back.argmin())
+        if rng.random() * (forth[rise] + back[fall]) < back[fall]:
+            limit, own = rise, own + forth[rise] * u
+        else:
+            limit, own = fall, own - back[fall] * u
+        # The unit that limits the move is closed by definition, whatever rounding says.
+        own[limit] = round(own[limit])
+        gone = (own <= _EPS) | (own >= 1 - _EPS)
+        own[gone] = np.abs(np.round(own[gone]))
+        p[open_] = own
+        open_, own, ranked = open_[~gone], own[~gone], ranked[~gone]
+    return p
+
+
+def _direction(p: np.ndarray, size: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """A direction that keeps sum(p) and sum(p * size), of units from the largest to the smallest, three or more.
+
+    The first unit moves by up to 1; the others by w * (noise - a - b * size) with w = p * (1 - p), a and b being what both
+    sums ask for. Without noise units of like size would be taken or left together.
+    """
+    w = p[1:] * (1 - p[1:])
+    whole = float(w.sum())
+    mid = float(w @ size[1:]) / whole
+    off = size[1:] - mid
+    heavy, jolt = w * off, w * noise
+    spread, ahead = float(heavy @ off), float(size[0]) - mid
+    u = np.empty(len(p))
+    if spread > 1e-9 * max(1.0, mid * mid) * whole:
+        answer = 1 / whole + ahead / spread * off
+        # As fast as the others can follow: a unit that they cannot balance waits for the landing.
+        u[0] = pace = 1 / max(1.0, float(np.abs(answer).max()) / 5)
+        u[1:] = jolt - w * (float(jolt.sum()) / whole) - heavy * (float(jolt @ off) / spread) - pace * w * answer
+    elif ahead <= 1e-9 * max(1.0, mid):  # all alike
+        u[0], u[1:] = 1.0, jolt - w * ((1 + float(jolt.sum())) / whole)
+    else:  # the others are alike and cannot make up for the first: two of them move against each other
+        u[:] = 0.0
+        u[1], u[2] = 1.0, -1.0
+    return u
+
+
+@dataclass
+class Landing:
+    """The units that flight leaves open, at most about a dozen, and the chances of their samples.
+
+    All samples of the open units are weighed up: of the distributions over them under which every unit keeps its
+    probability, one with the least expected distance from the balance is taken, by the simplex method. Distance is that of
+    words; that of documents decides between equals.
+    """
+
+    p: np.ndarray
+    units: np.ndarray
+    samples: np.ndarray
+    chance: np.ndarray
+
+    @classmethod
+    def of(cls, p: np.ndarray, size: np.ndarray) -> Landing:
+        units = np.flatnonzero((p > 0) & (p < 1))
+        own, s = p[units], size[units].astype(float)
+        samples = (np.arange(1 << len(units))[:, None] >> np.arange(len(units)) & 1).astype(float)
+        words, docs = np.abs(samples @ s - own @ s), np.abs(samples.sum(1) - own.sum())
+        return cls(p.astype(float), units, samples, _least_mean(samples, own, words + docs * 1e-3) if len(units) else np.ones(1))
+
+    def draw(self, rng: np.random.Generator) -> np.ndarray:
+        """p with the open units closed by one of their samples."""
+        out = self.p.copy()
+        at = np.searchsorted(np.cumsum(self.chance), rng.random() * self.chance.sum(), side="right")
+        out[self.units] = self.samples[min(int(at), len(self.samples) - 1)]
+        return out
+
+
+def landing(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Close the units that flight leaves open, each with its probability."""
+    return Landing.of(p, size).draw(_random(draw, 0, 0))
+
+
+def _least_mean(samples: np.ndarray, p: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The chances of the samples with the least mean cost of those under which unit i is in a sample with chance p[i].
+
+    The simplex method from the nested samples of the likeliest units. Ties among p are parted by less than 1e-7, as
+    equal ones would let it go round in circles.
+    """
+    m = len(p)
+    p = np.clip(p + np.linspace(0.0, 1e-8, m), 1e-9, 1 - 1e-9)
+    rows = np.concatenate([np.ones((1, len(samples))), samples.T])
+    goal = np.concatenate([[1.0], p])
+    order = np.argsort(-p, kind="stable")
+    nested = np.concatenate([[0], np.cumsum(1 << order)])
+    basis = nested.astype(int)
+    for _ in range(200 * (m + 1)):
+        inverse = np.linalg.inv(rows[:, basis])
+        gain = cost - (cost[basis] @ inverse) @ rows
+        gain[basis] = 0.0
+        into = int(np.argmin(gain))
+        if gain[into] > -1e-9 * max(1.0, np.abs(cost).max()):
+            break
+        now, move = inverse @ goal, inverse @ rows[:, into]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            reach = np.where(move > 1e-11, now / move, np.inf)
+        if not np.isfinite(reach.min()):
+            break
+        basis[int(np.argmin(reach))] = into
+    chance = np.zeros(len(samples))
+    chance[basis] = np.maximum(np.linalg.solve(rows[:, basis], goal), 0.0)
+    return chance
 
 
 def _nearest_change(change: np.ndarray, over: float) -> np.ndarray:
@@ -111,12 +188,31 @@ def _nearest_change(change: np.ndarray, over: float) -> np.ndarray:
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block after its flight; if it is its source's only one, after its landing."""
-    pdf = pdf.sort_values(["size", "draw", "doc_id", "row_hash"], ascending=[False, True, True, True], kind="stable")
+    """A block after its flight; if it is its source's only one, after its landing, near the source's target if that can be."""
+    pdf = pdf.sort_values(["draw", "doc_id", "row_hash"], kind="stable")
     p, size, draw = (pdf[c].to_numpy() for c in ("p", "size", "draw"))
-    flown = flight(p, size, draw)
-    alone = pdf["blocks"].iloc[0] == 1
-    return pdf.drop(columns=["block", "blocks"]).assign(p=landing(flown, size, draw, float((p * size).sum())) if alone else flown)
+    out = pdf.drop(columns=["block", "blocks"])
+    if pdf["blocks"].iloc[0] > 1:
+        return out.assign(p=flight(p, size, draw))
+    best, left = None, np.inf
+    for turn in range(FLIGHTS):
+        landed = Landing.of(flight(p, size, draw, LANDING, turn), size)
+        for again in range(LANDINGS):
+            now = landed.draw(_random(draw, turn, again))
+            off = abs(float(((now - p) * size).sum()))
+            if off < left:
+                best, left = now, off
+            if left <= NEAR * float(pdf["target"].iloc[0]):
+                return out.assign(p=best)
+    over = float(((best - p) * size).sum())
+    for _ in range(len(best)):
+        change = np.where(best == 1.0, -size, size).astype(float)
+        units = _nearest_change(change, over)
+        if not len(units):
+            break
+        over += float(change[units].sum())
+        best[units] = 1.0 - best[units]
+    return out.assign(p=best)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +287,12 @@ def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def repeat_by_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it, with the columns of docs."""
+    """docs with each row as often as the mix takes it, with the columns of docs.
+
+    A null doc_id or source is a value of its own; a null or empty text has no words, and is taken as others of its source
+    are; of rows alike in every column that can be hashed, as many come back as the mix takes of them together; an empty
+    table gives no rows.
+    """
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     taken = mix_to_targets(docs, doc_id, text, source, **options)
     # Rows alike in doc_id and hash are alike: what the mix takes of them together is all that counts.

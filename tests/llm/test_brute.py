@@ -141,6 +141,41 @@ def test_jaccard_join(spark, rows):
     assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got.collect()} == links_of(docs)
 
 
+def test_chains_cost_in_proportion_to_their_length(spark, monkeypatch):
+    """Texts that each share most words with the next: one long component, whose buckets are what meets."""
+    import random
+
+    rng = random.Random(3)
+    stream = [f"w{rng.randrange(10**6)}" for _ in range(60 + 4 * 600)]
+    docs = [(i, " ".join(stream[4 * i : 4 * i + 60])) for i in range(600)]
+    sent = {}
+    plain = jaccard.materialize
+
+    def noted(df, tag):
+        made = plain(df, tag)
+        if tag == "jaccard-placed":
+            rows = made.select("cid", F.explode("places").alias("p")).select("p.*").collect()
+            sent.update(copies=sum(r["blocks"] for r in rows), by_bucket=sum(r["band"] >= 0 for r in rows))
+        return made
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.near_duplicates(frame, block_rows=8).collect()}
+    assert got == links_of(docs) and len({c for _, c in got.values()}) < 600
+    assert sent["by_bucket"] > 0 and sent["copies"] <= 24 * 600  # all block pairs of the component would be 600 * 75
+
+
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_one_of_each_class_by_either_way(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST_KEYS", most)
+    docs = documents.unionByName(documents.where("doc_id % 7 = 0"))
+    kept = jaccard.one_of_each_class(docs).select("doc_id").collect()
+    want = {c for _, c in links_of([(r["doc_id"], r["text"]) for r in documents.collect()]).values()}
+    assert sorted(r[0] for r in kept) == sorted(want)
+
+
 def test_jaccard_join_of_documents(documents):
     docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.near_duplicates(documents).collect()}
@@ -218,8 +253,82 @@ def test_flight_keeps_sums():
     p, size = rng.random(500), rng.integers(1, 2000, 500)
     q = mixing.flight(p, size, rng.random(500))
     assert ((q > 0) & (q < 1)).sum() <= 2 and q.sum() == pytest.approx(p.sum()) and (q * size).sum() == pytest.approx((p * size).sum())
-    end = mixing.landing(q, size, rng.random(500), float((p * size).sum()))
-    assert set(end.tolist()) <= {0.0, 1.0} and abs((end * size).sum() - (p * size).sum()) < 20
+    r = mixing.flight(p, size, rng.random(500), mixing.LANDING)
+    assert 2 < ((r > 0) & (r < 1)).sum() <= mixing.LANDING and (r * size).sum() == pytest.approx((p * size).sum())
+    end = mixing.landing(r, size, rng.random(500))
+    assert set(end.tolist()) <= {0.0, 1.0} and abs((end * size).sum() - (p * size).sum()) <= size[(r > 0) & (r < 1)].max()
+
+
+def test_large_units_close_early():
+    """One unit of 20,000 words among many small ones does not stay open to the end."""
+    rng = np.random.default_rng(8)
+    size = np.concatenate([[20_000], rng.integers(1, 500, 1500)])
+    for seed in range(5):
+        q = mixing.flight(np.full(1501, 0.37), size, np.random.default_rng(seed).random(1501))
+        assert q[0] in (0.0, 1.0) and (q * size).sum() == pytest.approx(0.37 * size.sum())
+        assert size[(q > 0) & (q < 1)].max(initial=0) < 200
+
+
+@pytest.mark.parametrize("size", [[5, 5, 5], [100, 1, 1, 1, 1], [7, 3, 0, 0], [1], [9, 2], list(range(1, 15)), [50] * 12 + [3] * 12])
+def test_landing_keeps_every_probability(size):
+    size = np.array(size, float)
+    for p0 in (0.3, 0.5, 0.81):
+        got = []
+        for seed in range(500):
+            draw = np.random.default_rng(seed).random(len(size))
+            got.append(mixing.landing(mixing.flight(np.full(len(size), p0), size, draw, mixing.LANDING), size, draw))
+        assert np.abs(np.mean(got, axis=0) - p0).max() < 0.09
+
+
+def test_landing_is_the_least_mean():
+    """Against all basic solutions: every choice of as many samples as there are equations."""
+    import itertools
+
+    size, p = np.array([9.0, 4.0, 2.0]), np.array([0.3, 0.55, 0.7])
+    samples = (np.arange(8)[:, None] >> np.arange(3) & 1).astype(float)
+    cost = np.abs(samples @ size - p @ size)
+    chance = mixing._least_mean(samples, p, cost)
+    assert chance.sum() == pytest.approx(1) and chance @ samples == pytest.approx(p, abs=1e-6)
+    rows, best = np.concatenate([np.ones((1, 8)), samples.T]), np.inf
+    for some in itertools.combinations(range(8), 4):
+        if abs(np.linalg.det(rows[:, some])) > 1e-9:
+            x = np.linalg.solve(rows[:, some], [1, *p])
+            if (x > -1e-9).all():
+                best = min(best, float(x @ cost[list(some)]))
+    assert chance @ cost == pytest.approx(best, abs=1e-5)
+
+
+def test_blocks_keep_every_rate():
+    """The mean over seeds of a source's only block, and of two blocks whose open documents meet in a third."""
+    import pandas as pd
+
+    def table(n, seed):
+        rng = np.random.default_rng(seed)
+        return pd.DataFrame({"doc_id": range(n), "row_hash": 0, "size": [3 + 7 * i * i % 40 for i in range(n)], "p": 0.37, "draw": rng.random(n), "target": 1e9, "block": 0, "blocks": 1})
+
+    runs = 400
+    for n in (1, 2, 5, 9, 40):
+        alone, met = np.zeros(n), np.zeros(n)
+        for seed in range(runs):
+            pdf = table(n, seed)
+            alone += mixing._block(pdf).sort_values("doc_id")["p"].to_numpy()
+            halves = pd.concat([mixing._block(pdf[pdf.doc_id % 2 == k].assign(blocks=2)) for k in (0, 1) if (pdf.doc_id % 2 == k).any()])
+            closed = halves.p.isin((0.0, 1.0))
+            rest = mixing._block(halves[~closed].assign(block=0, blocks=1)) if (~closed).any() else halves[:0]
+            met += pd.concat([halves[closed], rest]).sort_values("doc_id")["p"].to_numpy()
+        # Means of 400 draws lie within four of their standard deviations.
+        assert np.abs(alone / runs - 0.37).max() < 0.1 and np.abs(met / runs - 0.37).max() < 0.1
+
+
+def test_a_small_source_comes_near_its_target():
+    """One document of more words than the source is to give: whatever the draws, the mix is near."""
+    import pandas as pd
+
+    size = [500, *range(20, 60)]
+    for seed in range(60):
+        pdf = pd.DataFrame({"doc_id": range(41), "row_hash": 0, "size": size, "p": 0.2, "draw": np.random.default_rng(seed).random(41), "target": 0.2 * sum(size), "block": 0, "blocks": 1})
+        own = mixing._block(pdf).sort_values("doc_id")["p"].to_numpy()
+        assert set(own) <= {0.0, 1.0} and abs(own @ size - 0.2 * sum(size)) <= 0.02 * 0.2 * sum(size)
 
 
 def test_flight_is_fair():
@@ -267,6 +376,41 @@ def test_proportions_are_the_maximum():
     assert got[0] == pytest.approx(best, abs=2e-3)
 
 
+def test_chosen_sets_against_all_sets():
+    """The penalised likelihood of the chosen set against that of every set, each by long expectation-maximisation."""
+    import itertools
+
+    rng, model = np.random.default_rng(12), langid.LanguageModel(["a", "b", "c", "d"], np.zeros((1, 4), np.float32))
+    for case in range(40):
+        n = int(rng.integers(3, 60))
+        share = rng.dirichlet(np.full(4, 0.4))
+        like = np.exp(-np.abs(rng.normal(size=(n, 4))) * rng.choice([1.0, 4.0])).astype(np.float32)
+        like[np.arange(n), rng.choice(4, n, p=share)] = 1.0
+        model.word_likelihoods = lambda *_: (like, np.array([0, n]))
+        _, _, names, shares = model.infer(None, None, None, np.array([0, 1]))[0]
+
+        def value(columns, p):
+            return np.log(np.maximum(like[:, columns] @ p, 1e-30)).sum() - langid.PENALTY * 0.5 * (len(columns) - 1) * np.log(n + 1)
+
+        best = -np.inf
+        for k in range(1, 5):
+            for some in itertools.combinations(range(4), k):
+                p = np.full(k, 1 / k)
+                for _ in range(400):
+                    p = (like[:, some] * p / np.maximum((like[:, some] * p).sum(1, keepdims=True), 1e-30)).mean(0)
+                best = max(best, value(list(some), p))
+        got = value([model.languages.index(x) for x in names], np.array(shares))
+        assert got <= best + 1e-3 and got >= best - 0.75, (case, got, best)
+        assert sum(shares) == pytest.approx(1, abs=1e-4) and shares == sorted(shares, reverse=True)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LEARNED", 2)
+    rows = spark.createDataFrame([("a b", "x"), ("c d", "y"), ("e f", "z")], "text string, lang string")
+    with pytest.raises(ValueError, match="3 languages"):
+        langid.train(rows)
+
+
 def test_many_languages_and_steady_proportions():
     rng = np.random.default_rng(3)
     stems = {f"l{i}": ["".join(chr(97 + (5 * i + k) % 26) for k in rng.integers(0, 5, 5)) for _ in range(40)] for i in range(6)}
@@ -347,6 +491,50 @@ def test_restored_texts(spark):
     assert data.tobytes() == b"such an idiot, loser!\nplain text it's\n\n" and offs.tolist() == [0, 22, 38, 39]
 
 
+def _cheapest(token, model):
+    """The least cost of all ways through a token's lattice, one by one, and its readings."""
+    best, found = np.inf, set()
+
+    def walk(at, a, b, cost, text):
+        nonlocal best, found
+        if at == len(token):
+            cost += model.cost(a, b, 0) if b else 0.0
+            if cost < best - 1e-9:
+                best, found = cost, set()
+            if cost < best + 1e-9:
+                found.add(text)
+            return
+        for out, extra in toxicity.readings(token, at):
+            if out == "":
+                walk(at + 1, a, b, cost + extra, text)
+            elif out == " ":
+                walk(at + 1, 0, 0, cost + extra + (model.cost(a, b, 0) if b else 0.0), text + (" " if b else ""))
+            else:
+                walk(at + 1, b, ord(out), cost + extra + model.cost(a, b, ord(out)), text + out)
+
+    walk(0, 0, 0, 0.0, "")
+    return found
+
+
+@pytest.fixture(scope="module")
+def letter_model(spark):
+    return toxicity.train_letters(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+@given(st.text(st.sampled_from("aeiotsl01345@$!*.|-"), min_size=1, max_size=7))
+def test_decoding_against_every_path(letter_model, token):
+    assert toxicity.decode(token, letter_model) in _cheapest(token, letter_model)
+
+
+def test_long_tokens_are_one_path(letter_model):
+    """No cut changes what is read: letters on both sides of every place see each other."""
+    word = "1d10t5tup1d"
+    whole = toxicity.decode(word * 100, letter_model)
+    assert len(word) * 100 > 1000 and toxicity.decode(word * 101, letter_model).startswith(whole[: len(whole) - 12])
+    plain = "abcdefghij" * 60
+    assert toxicity.decode(plain, letter_model) == plain
+
+
 def test_obfuscations_reach_the_lattice(spark):
     model = toxicity.train_letters(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     restorer = toxicity.Restorer(model)
