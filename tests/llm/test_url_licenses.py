@@ -123,3 +123,54 @@ def test_wrapped_notices_and_several_licenses(model):
     assert [f for _, f in found(mit)] == ["mit"]
     assert sorted(f for _, f in found("Licensed under the MIT License or the Apache License, Version 2.0.")) == ["apache-2.0", "mit"]
     assert found("The driver must carry\na valid license at all times.\nYou may not use this\nservice without permission.") == []
+
+
+def _found(model, text):
+    import numpy as np
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    return [(x["family"], x["confirmed"]) for x in model.scan(data, np.array([0, len(data)]))[0]]
+
+
+def test_licenses_of_no_family_are_unknown(model):
+    isc = "Released under the ISC license. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    eclipse = "This program and the accompanying materials are made available\nunder the terms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/"
+    for text in (isc, eclipse, "Licensed under the Foo Public License, version 7.", "Released under the Ruby License."):
+        assert _found(model, text) == [("unknown", False)], text
+    assert ("mit", True) in _found(model, "Released under the ISC license or the MIT License.")
+    assert _found(model, "This work is licensed under the GNU General\nPublic License, version 3.") == [("gpl-3.0", True)]
+    assert not any(sure for _, sure in _found(model, "Released under the license of the foundation."))
+
+
+def test_probabilities_are_calibrated():
+    """Of rows that the model was not trained on - left-out notices, licenses, variants - confidence is near the share that is right."""
+    import numpy as np
+
+    model, (z, y, weight) = licenses.fit_licenses(licenses._untrained(), [], np.zeros(0))
+    z = z / model.temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    sure, right = p.max(1), p.argmax(1) == y
+    bins = np.minimum((sure * 10).astype(int), 9)
+    off = sum(weight[bins == k].sum() / weight.sum() * abs(np.average(sure[bins == k], weights=weight[bins == k]) - np.average(right[bins == k], weights=weight[bins == k])) for k in np.unique(bins))
+    assert off < 0.12 and 0.2 < model.temperature < 5
+    # No other temperature makes the labels likelier.
+    assert licenses.calibrate(z, y, weight) == pytest.approx(1, abs=0.06)
+
+
+def test_regression_against_plain_steps():
+    """_fit against gradient descent written out, on a small problem."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((60, 5)) < 0.4).astype(np.float32)
+    y = np.where(x[:, 0] > 0, 1, np.where(x[:, 1] > 0, 2, 0))
+    w, b = licenses._fit(x, y, np.ones(60), 3, ridge=0.05)
+    v, c = np.zeros((5, 3)), np.zeros(3)
+    for _ in range(20_000):
+        z = x @ v + c
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        e = (p - np.eye(3)[y]) / 60
+        v, c = v - 0.5 * (x.T @ e + 0.05 * v), c - 0.5 * e.sum(0)
+    assert np.abs(w - v).max() < 0.02
