@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,9 @@ from headwind.llm.tokenfiles import read_token_files, write_token_files
 from headwind.llm.toxicity import toxicity_scores
 from headwind.llm.urllists import host_of, judge_captures
 
+#: The public tokenizer that op9 encodes with.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,7 +105,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_token_files(spark, write_token_files(_table(spark, sf_dir, "documents"), corpus_pipeline.TOKENIZER))
+    return read_token_files(spark, write_token_files(_table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
-    "pipeline": corpus_pipeline.run,
 }
 
 
@@ -224,5 +226,3 @@ SELECT d.doc_id, (SELECT min(y) FROM reach WHERE reach.x = d.doc_id) AS class_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_url_lists": _op2(), "op4_decontamination": _OP4, "op5_quality_rules": _op5(), "op7_jaccard_join": _OP7}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -481,6 +481,9 @@ def test_toxicity(spark):
     held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
     assert sum(r["predicted"] and not truth[r["doc_id"]] for r in held) <= 0.01 * len(held)
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.95 * len(held)
+    # Six of the 97 toxic rows have none of the words that make others toxic.
+    toxic = [r for r in held if truth[r["doc_id"]]]
+    assert sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic)
 
 
 def test_restored_texts(spark):

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from headwind.llm import jaccard, langid, licenses, mixing, quality, rules, tokenfiles, toxicity
+from headwind.llm import jaccard, langid, licenses, mixing, quality, rules, tokenfiles, toxicity, urllists
 from headwind.llm.decontaminate import decontaminate, find_benchmark_words
 
 N = 48
@@ -14,7 +14,15 @@ def _items(spark):
     return spark.createDataFrame([(1, "two texts, one id"), (1, "two texts, one id"), (2, None), (3, ""), (None, "odd")], "item_id bigint, text string")
 
 
+def _judged(spark, docs):
+    """Texts of documents taken as URLs: nulls, empty and very long ones, repeats; none has a host but those made here."""
+    urls = docs.withColumns({"url": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("http://Example.com/A/b/"), "text")).otherwise(F.col("text")), "fetched": F.when(F.col("doc_id") % 3 > 0, F.lit("2024-05-05 10:00:00").cast("timestamp"))})
+    entries = spark.createDataFrame([("x", "EXAMPLE.com/A", "2024-05-05 09:00:00", "add"), (None, "example.com", None, "add")], "list string, pattern string, day string, action string")
+    return urllists.judge_captures(urls, entries)
+
+
 OPERATORS = {
+    "urls": lambda s, d, l: _judged(s, d),
     "languages": lambda s, d, l: langid.languages_of_documents(d),
     "toxicity": lambda s, d, l: toxicity.toxicity_scores(d, l),
     "benchmark": lambda s, d, l: find_benchmark_words(d, _items(s)),
@@ -62,6 +70,28 @@ def test_stages_keep_the_columns(spark, edges, nothing, edge_labels):
         assert kept.exceptAll(edges if name != "mix" else edges.unionByName(edges)).count() == 0, name
 
 
+def _tables(folder, docs, labels, items):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_odd_rows(spark, edges, edge_labels, tmp_path):
+    from headwind import session
+
+    session.release(spark)
+    made = corpus_pipeline.run(spark, _tables(tmp_path, edges, edge_labels, _items(spark))).orderBy("start").collect()
+    ids = {r["doc_id"] for r in edges.select("doc_id").collect()}
+    assert made and {r["doc_id"] for r in made} <= ids and all(r["n_tokens"] > 0 for r in made)
+    assert [r["start"] for r in made] == [sum(x["n_tokens"] for x in made[:i]) for i in range(len(made))]
+    # Only the last written stage and the token files are still there.
+    assert session.release(spark) == 2
+
+
+def test_pipeline_on_empty_tables(spark, nothing, edge_labels, tmp_path):
+    assert corpus_pipeline.run(spark, _tables(tmp_path, nothing, edge_labels.limit(0), _items(spark).limit(0))).count() == 0
+
+
 def test_defined_results(spark, edges, edge_labels):
     found = {(r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.near_duplicates(edges).where("doc_id in (5, 6, 7) or doc_id is null").collect()}
     # Five rows share the words of `same` up to one: each has four others, and the class has no least id but 5.
