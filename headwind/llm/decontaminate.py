@@ -241,7 +241,9 @@ def leaks(runs: Column, n_hit: Column, n_words: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the documents that leak benchmark items, with the columns of docs.
 
-    This is stricter than contaminated(): WINDOW consecutive words of an item are a leak in a text of any length.
+    This is stricter than contaminated(): WINDOW consecutive words of an item are a leak in a text of any length. A null or
+    empty text leaks nothing and stays; repeated rows stay or go together; an empty benchmark removes nothing; items
+    without an id count; an empty table gives no rows.
     """
     found = find_benchmark_words(docs, benchmark, text)
     return found.where(~leaks(F.col("runs"), F.col("n_hit"), F.col("n_words"))).select("row.*")

@@ -289,7 +289,11 @@ def _read_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of a data set, from its files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document of a data set, from its files.
+
+    A null doc_id comes back as null; a document of a null or empty text has the end id alone; repeated rows come back as
+    often as they were written, one after another; a data set without shards gives no rows.
+    """
     files, base = _open(folder)
     with files.open_input_stream(f"{base}/index.json") as source:
         shards = json.loads(source.read())["shards"]

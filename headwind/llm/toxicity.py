@@ -464,7 +464,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(features.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["doc_id", "label", "features"])
 
-    table = mapped(rows, met, "doc_id bigint, label int, features array<int>").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    table = mapped(rows, met, "doc_id bigint, label int, features array<int>").toPandas()
+    # Rows of one id are told apart by their features, so the sums don't depend on the order they came in.
+    table = table.assign(key=[tuple(f) for f in table["features"]]).sort_values(["doc_id", "label", "key"], kind="stable")
     x = np.zeros((len(table), len(keys)), np.float32)
     for i, f in enumerate(table["features"]):
         x[i, f] = 1.0

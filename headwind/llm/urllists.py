@@ -57,7 +57,7 @@ def validity(entries: DataFrame) -> DataFrame:
     """
     host = F.substring_index("pattern", "/", 1)
     pattern = F.concat(F.lower(host), F.substring("pattern", F.length(host) + 1, F.length("pattern")))
-    kept = entries.select(F.lower("list").alias("list"), F.rtrim(pattern, F.lit("/")).alias("pattern"), F.col("day").cast("timestamp").alias("at"), (F.col("action") == "remove").cast("int").alias("off")).where("action in ('add', 'remove')").dropna()
+    kept = entries.select(F.lower("list").alias("list"), F.rtrim(pattern, F.lit("/")).alias("pattern"), F.col("day").try_cast("timestamp").alias("at"), (F.col("action") == "remove").cast("int").alias("off")).where("action in ('add', 'remove')").dropna()
     once = kept.groupBy("list", "pattern", "at").agg(F.max("off").alias("off"))
     following = F.lead("at").over(Window.partitionBy("list", "pattern").orderBy("at"))
     return once.withColumn("until", following).where("off = 0").select("list", "pattern", F.col("at").alias("since"), "until")
@@ -74,11 +74,11 @@ def judge_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fe
 
     n_active: entries that cover the URL and were active at `fetched` (since <= fetched < until), a date being its first
     moment; list, pattern and since are those of the longest pattern, ties going to the list that sorts first, and null if
-    there is none. A null URL, one without a host, or a null fetch time is not blocked. Very long URLs are judged whole.
+    there is none. A null URL, one without a host, or a fetch time that is null or no time is not blocked. Very long URLs are judged whole.
     Repeated rows are each judged; no entries block nothing; an empty table gives no rows; as rows stay inside `row`, their
     names cannot clash.
     """
-    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"), F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").cast("timestamp").alias("at"))
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"), F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").try_cast("timestamp").alias("at"))
     once = materialize(rows.where("url is not null and at is not null").groupBy("url", "at").agg(F.count("*").alias("n")), "url-fetches")
     # Only months in which something was fetched need entries.
     lo, hi = (F.lit(x).cast("timestamp") for x in once.agg(F.date_trunc("month", F.min("at")).cast("string"), F.max("at").cast("string")).first())
