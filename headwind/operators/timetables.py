@@ -21,8 +21,10 @@ def active_services(dates: DataFrame, calendar_table: DataFrame | None, exceptio
     if calendar_table is None:
         weekly = spark.createDataFrame([], "date date, service_id string")
     else:
-        runs = F.element_at(F.array(*[F.col(d).cast("int") for d in _WEEKDAYS]), F.weekday("date") + 1)
-        weekly = dates.join(calendar_table, F.col("date").between(F.col("start_date"), F.col("end_date"))).where(runs == 1).select("date", "service_id")
+        # A row for each weekday that a service runs on, so that dates meet them by weekday.
+        flags = F.array(*[F.when(F.col(d).cast("int") == 1, F.lit(k)) for k, d in enumerate(_WEEKDAYS)])
+        runs = calendar_table.select("service_id", "start_date", "end_date", F.explode(F.array_compact(flags)).alias("weekday"))
+        weekly = dates.withColumn("weekday", F.weekday("date")).join(runs, "weekday").where(F.col("date").between(F.col("start_date"), F.col("end_date"))).select("date", "service_id")
     if exceptions is None:
         return weekly.distinct()
     special = exceptions.join(dates, "date", "left_semi")

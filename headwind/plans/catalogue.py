@@ -12,7 +12,7 @@ from headwind.operators import departures as board
 from headwind.operators import observations, services, stations, timetables
 from headwind.plans import fixtures as fx
 from headwind.session import new_path
-from headwind.sources import files, readers
+from headwind.sources import files, readers, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +118,16 @@ def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.shard_rows(services.service_statistics(wide))
 
 
+@query
+def stored_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations stored by service day, read back, aggregated, published by delay set and bucket, and read by manifest."""
+    root = new_path(spark, "stored")
+    storage.write_observations(fx.observations(spark, sf_dir), f"{root}/observations")
+    obs = storage.read_observations(spark, f"{root}/observations", storage.stored_days(f"{root}/observations"))
+    storage.publish_statistics(services.service_statistics(obs), root)
+    return storage.read_statistics(spark, root)
+
+
 @query
 def coverage_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.coverage_days(fx.observations(spark, sf_dir))
@@ -199,6 +209,18 @@ def date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Timetables
 
 
+@query
+def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop times of a week's dates from a feed's text files, which are written first."""
+    folder = new_path(spark, "feed")
+    fx.write_feed(spark, sf_dir, folder)
+    first, last = readers.feed_window(spark, folder)
+    dates = calendar.timetable_dates(spark.sql("SELECT DATE '2026-08-20' AS today"), window=(first, last)).select("day_type", "date")
+    tables = readers.read_feed(spark, folder)
+    running = timetables.active_services(dates.select("date").distinct(), tables["calendar"], tables["calendar_dates"])
+    return timetables.feed_stop_times(dates, tables["stop_times"], tables["trips"], tables["routes"], running)
+
+
 @query
 def line_full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = F.array(*[F.lit(x) for x in ("RE", "S", "EC", " IR ", "R", "CC")])

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headwind.sources import files
+
 STATION = 8_500_000
 # Line names that cover every kind of match.
 TRIP_LINES = ("RE12", "RE", "RE5", "S3", "9", "IC21", "S")
+ROUTES = (("RE", "RE 12"), ("RE", "Regio"), ("RE", "RE5"), ("S", "S 3"), ("9", "Bus 9"), ("IC", "IC 21"), ("S", ""))
 #: Board requests: (anchor, query, day type, minute, limit).
 BOARD_REQUESTS = [(0, "8500004:0:0", 2, 15, 5), (1, "8500007", 6, 480, 3), (2, "russia", 0, 1200, 4), (3, "nowhere", 0, 15, 4), (4, "Supplier#000000003", 5, 1439, 12)]
 EVENT_LINES = {"view": "RE12", "click": "RE", "signup": "S3", "error": "9", "purchase": "IC"}
@@ -69,6 +72,38 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("day_type", F.col("l_orderkey").alias("trip"), "seq", "n_stops", (F.lit(STATION) + F.col("l_suppkey")).cast("int").alias("stop"), line.alias("line"), dep.alias("dep"))
 
 
+def _one_file(df: DataFrame, path: str) -> None:
+    """df as one file with a header, as feeds have them."""
+    df.coalesce(1).write.csv(f"{path}.parts", header=True, emptyValue="")
+    made = next(n for n in files.children(f"{path}.parts") if n.endswith(".csv"))
+    store, own = files.locate(path)
+    store.move(f"{own}.parts/{made}", own)
+    files.remove(f"{path}.parts")
+
+
+def write_feed(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A feed of the stop times: a service for each weekday; on Wednesday 2026-08-19 Monday's service runs instead.
+
+    Every eleventh stop has no departure time. Routes are named by category and number in their long names.
+    """
+    times = stop_times(spark, sf_dir)
+    service = F.concat(F.lit("d"), F.col("day_type"))
+    route = F.concat(F.lit("r"), F.col("trip") % 7)
+    clock = F.when((F.col("trip") + F.col("seq")) % 11 != 0, F.format_string("%02d:%02d:00", F.floor(F.col("dep") / 60).cast("int"), F.col("dep") % 60)).otherwise("")
+    rows = lambda schema, *values: spark.createDataFrame(list(values), schema)
+    tables = {
+        "stop_times": times.select(F.col("trip").alias("trip_id"), clock.alias("departure_time"), F.col("stop").alias("stop_id"), (F.col("seq") * 10).alias("stop_sequence")),
+        "trips": times.select(route.alias("route_id"), service.alias("service_id"), F.col("trip").alias("trip_id")).distinct(),
+        "routes": rows("route_id string, route_short_name string, route_long_name string, route_type int", *[(f"r{k}", a, b, k % 4) for k, (a, b) in enumerate(ROUTES)]),
+        "stops": stops(spark, sf_dir).select(F.col("source_stop_id").alias("stop_id"), F.col("name").alias("stop_name")),
+        "calendar": rows("service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, start_date string, end_date string", *[(f"d{k}", *[int(k == d) for d in range(7)], "20260101", "20261231") for k in range(7)]),
+        "calendar_dates": rows("service_id string, date string, exception_type int", ("d2", "20260819", 2), ("d0", "20260819", 1)),
+        "feed_info": rows("feed_start_date string, feed_end_date string", ("20260101", "20261231")),
+    }
+    for name, df in tables.items():
+        _one_file(df, f"{folder}/{name}.txt")
+
+
 def anchors(spark: SparkSession, sf_dir: str, times: tuple[int, ...], limit: int = 12) -> DataFrame:
     """An anchor for every stop, day type and time; those of one stop and day are numbered one after another."""
     each = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("query_day"))

@@ -217,6 +217,8 @@ def oracles() -> dict[str, str]:
         "order_delay_stats": f"WITH o AS (SELECT CAST(8500000 + l_suppkey % 10 AS INT) AS bpuic, l_returnflag || l_linestatus AS line, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS delay_s FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT bpuic, line, count(*) AS samples, {_MEAN} AS avg_delay_s, {_BUFFER} AS catch_buffer_s FROM o GROUP BY ALL",
         "ignored_lines": f"WITH {_OBS} SELECT line, count(*) AS n FROM obs WHERE line NOT IN (SELECT line FROM obs WHERE service_day < DATE '2024-01-15' AND line <> 'error') GROUP BY 1",
         "shard_rows": f"WITH {_stats(_WIDE, source='wide')}, {_CLAMP} SELECT * FROM shards",
+        "stored_statistics": f"WITH {_stats(_OBS)}, {_CLAMP} SELECT * FROM shards",
+        "feed_times": f"WITH {_TIMES}, kept AS (SELECT * FROM times WHERE (trip + seq) % 11 <> 0), days AS (SELECT CAST(d AS INT) AS on_day, CASE WHEN d = 2 THEN 0 ELSE d END AS day_type FROM range(0, 7) AS r(d)) SELECT on_day AS day_type, CAST(trip AS VARCHAR) AS trip, CAST(row_number() OVER (PARTITION BY on_day, trip ORDER BY seq) AS INT) AS seq, CAST(count(*) OVER (PARTITION BY on_day, trip) AS INT) AS n_stops, CAST(stop AS VARCHAR) AS stop, ['RE12', 'RE', 'RE5', 'S3', '9', 'IC', 'S'][trip % 7 + 1] AS line, dep, CAST(trip % 7 % 4 AS INT) AS route_type FROM kept JOIN days USING (day_type)",
         "run_totals": f"WITH {_stats(_WIDE, source='wide')}, {_CLAMP} SELECT delay_set, count(*) AS services, CAST(sum(samples) AS BIGINT) AS samples, count(*) FILTER (clamped) AS clamped, count(DISTINCT bpuic) AS stations, count(DISTINCT bucket) AS buckets FROM shards GROUP BY 1",
         "coverage_days": f"WITH {_COVER} SELECT * FROM coverage",
         "distinct_stations": f"WITH {_OBS} SELECT count(DISTINCT bpuic) AS stations FROM obs",

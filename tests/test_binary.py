@@ -63,6 +63,23 @@ def test_empty_pages_roll_over(spark):
     assert board.scope_for("group", ["day", "group"]) == "group" and board.scope_for("all", ["group"]) == "group" and board.scope_for(None, []) == "day"
 
 
+def test_pages_over_dates_follow_the_calendar(spark):
+    from datetime import date
+
+    # 3 April 2026 is Good Friday: its timetable is Sunday's.
+    anchors = spark.createDataFrame([(1, 1, date(2026, 4, 2), 3, 1500, 3), (2, 1, date(2026, 4, 15), 2, 1500, 3)], "anchor int, stop int, date date, query_day int, at int, `limit` int")
+    empty = spark.createDataFrame([], "anchor int")
+    rolled = board.roll_over(empty, anchors, window=("2026-04-01", "2026-04-15")).collect()
+    assert [(r["anchor"], r["date"], r["query_day"], r["at"]) for r in rolled] == [(1, date(2026, 4, 3), 6, 60)]
+    times = spark.createDataFrame([(6, 7, 1, 1, "S", 90, 9)], "day_type int, trip int, seq int, stop int, line string, dep int, destination int")
+    page = board.page_over_dates(times, anchors, window=("2026-04-01", "2026-04-15")).collect()
+    assert [(r["anchor"], r["date"], r["clock"], r["rolled"]) for r in page] == [(1, date(2026, 4, 3), 90, 1)]
+    asked = spark.createDataFrame([(0,), (6,)], "day_type int")
+    got = board.resolve_day_types(asked, times.select("day_type")).orderBy("day_type").collect()
+    assert [(r["answers"], r["own"]) for r in got] == [(6, False), (6, True)]
+    assert board.resolve_day_types(asked, times.select("day_type").limit(0)).where("answers is null and not own").count() == 2
+
+
 def test_build_totals(spark):
     routes = spark.createDataFrame([("r1", "RE", "RE 12"), ("r2", "EC", "EC 4"), ("r3", "S", None)], "route_id string, route_short_name string, route_long_name string")
     rows = [(0, 1, 1, 2, 1, "S", 1450), (0, 1, 2, 2, 2, "S", 1460), (0, 2, 1, 2, 1, "S", 100), (0, 2, 2, 2, 2, "S", 110)]
