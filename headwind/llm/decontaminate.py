@@ -6,8 +6,10 @@ of the benchmark items, and each hit is extended to the whole windows around it,
 of all their words. Items shorter than a window are one window of their own length, winnowed with a window of one gram
 of that length.
 
-The benchmark is cut into blocks of a checked size; each is one broadcast index, against which all documents are
-read once. A usual benchmark is one block, and then nothing is shuffled.
+The benchmark is cut into blocks of a checked size; each is one broadcast index. A usual benchmark is one block, against
+which all documents are read once, and then nothing is shuffled. With several, fingerprints of documents and items are
+shuffled and joined first, and only documents that share one are read against the blocks; items shorter than a window
+are few words each and are read against all documents.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from headwind.session import materialize
 WINDOW, GRAM = 13, 5
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 8 << 20
+#: Tasks to which the documents with one fingerprint are dealt.
+SALTS = 16
 _BITS = 18
 
 RESULT = "n_words bigint, n_hit bigint, item_ids array<string>, runs array<struct<first:int,past:int>>"
@@ -148,6 +152,29 @@ class BenchmarkIndex:
         return counts, K.segment_sum(hit.astype(np.int64), at), found, runs
 
 
+def fingerprints(texts: DataFrame, kept: str, keep: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(kept..., n_words, prints) of texts (keep..., text): the number of words and the distinct fingerprints; kept is the
+    schema of the columns keep."""
+
+    def run(batches):
+        for batch in batches:
+            names, counts, flat, sizes = list(keep), [], [], []
+            for _, _, data, offs in K.text_batches(batch.column(batch.schema.get_field_index("text"))):
+                starts, ends, at = K.spans(data, offs, K.ALNUM)
+                words = K.word_hashes(data, starts, ends)
+                grams, left = K.gram_hashes(words, GRAM), K.place(at)[1]
+                where = winnow(grams, left)
+                pairs = np.unique(np.rec.fromarrays([np.searchsorted(at, where, side="right") - 1, grams[where]], names="d,g"))
+                counts.append(np.diff(at))
+                flat.append(pairs.g.view(np.int64))
+                sizes.append(np.bincount(pairs.d, minlength=len(at) - 1))
+            ends = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64()), lists], names=[*names, "n_words", "prints"])
+
+    return mapped(texts, run, f"{kept}, n_words bigint, prints array<bigint>")
+
+
 def _matched(docs: DataFrame, index, passed: str, inside: str | None = None) -> DataFrame:
     """docs (passed..., text) with RESULT in place of text; inside: the text is this field of the struct `row` instead."""
 
@@ -180,28 +207,39 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     passed = f"row {source.schema['row'].dataType.simpleString()}"
 
-    def index(block: int):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        return spark.sparkContext.broadcast(BenchmarkIndex.build([r[0] for r in rows], [r[1] for r in rows]))
+    def indexes(own: DataFrame, blocks: int):
+        for block in range(blocks):
+            rows = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).select("id", "text").collect()
+            made = spark.sparkContext.broadcast(BenchmarkIndex.build([r[0] for r in rows], [r[1] for r in rows]))
+            yield made
+            made.destroy()  # one block at a time, on the driver too
+
+    def blocks_of(own: DataFrame) -> int:
+        return -(-int(own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // block_bytes)
 
-    if blocks == 1:
-        return _matched(source, index(0), passed, text)
+    if blocks_of(items) <= 1:
+        rows = items.collect()
+        return _matched(source, spark.sparkContext.broadcast(BenchmarkIndex.build([r[0] for r in rows], [r[1] for r in rows])), passed, text)
     # Several blocks: what each finds is keyed by the text, merged, and joined to the documents again.
     own = F.col("row").getField(text)
     keyed = source.withColumn("key", F.struct(F.xxhash64(own).alias("a"), F.sha2(F.coalesce(own, F.lit("")), 256).alias("b")))
     texts = keyed.select("key", own.alias("text"))
     key = f"key {texts.schema['key'].dataType.simpleString()}"
-    union = None
-    for b in range(blocks):
-        own_index = index(b)
-        part = materialize(_matched(texts, own_index, key).where("n_hit > 0"), "benchmark-hits")
-        own_index.destroy()  # one block at a time, on the driver too
-        union = part if union is None else union.unionByName(part)
+    signed = materialize(fingerprints(items, "id string, text string", ("id", "text")), "benchmark-items")
+    long_, short = signed.where(F.col("n_words") >= WINDOW), signed.where(F.col("n_words") < WINDOW)
+    # The join of fingerprints: one that many documents have is dealt to several tasks; items are the smaller side.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    asked = long_.select(F.explode("prints").alias("print")).distinct().select("print", salts.alias("salt"))
+    met = fingerprints(texts, key).select("key", F.explode("prints").alias("print"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    sharing = met.join(asked, ["print", "salt"], "left_semi").select("key").distinct()
+    near = materialize(texts.join(sharing, "key", "left_semi").dropDuplicates(["key"]), "benchmark-near")
+    union = spark.createDataFrame([], f"{key}, {RESULT}")
+    for some, read in ((long_, near), (short, texts)):
+        for own_index in indexes(some, blocks_of(some)):
+            union = union.unionByName(materialize(_matched(read, own_index, key).where("n_hit > 0"), "benchmark-hits"))
     merged = (
         union.groupBy("key")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"))
