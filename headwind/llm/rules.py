@@ -46,7 +46,9 @@ def text_counts(docs: DataFrame, keep: dict[str, Column], text: str = "text") ->
         *keep, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")).alias("w"), lines.alias("lines"),
         F.length(F.translate("t", BLANKS, "")).cast("bigint").alias("word_chars"), (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
     )
-    hashes = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (WINDOW - 1), F.lit(0))), lambda _, i: F.xxhash64(F.slice("w", i + 1, WINDOW)))
+    step = step.withColumn("each", F.transform("w", lambda x: F.xxhash64(x)))
+    # Words are hashed once; a window's hash is that of its words' hashes.
+    hashes = F.transform(F.slice("each", 1, F.greatest(F.size("w") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("each", i + k) for k in range(1, WINDOW)]))
     step = step.select(
         *keep, "word_chars", "n_symbols", F.size("w").cast("bigint").alias("n_words"), F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), F.when(F.size("w") > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")).alias("h"),
