@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwind.functions import calendar, names
+from headwind.session import tasks_for
 
 DAY = 1440
+#: MB of a feed's stop times, as text, for a task; about 500,000 rows for each day type that their trips run on.
+STOP_TIMES_MB = 16
 _WEEKDAYS = calendar.DAY_TYPES
 
 
@@ -42,10 +45,13 @@ def minutes(text: Column) -> Column:
 def feed_stop_times(dates: DataFrame, stop_times: DataFrame, trips: DataFrame, routes: DataFrame, services: DataFrame) -> DataFrame:
     """(day_type, trip, seq, n_stops, stop, line, dep, route_type) of each date's running trips.
 
-    dates: (day_type, date). Rows without a departure time are left out before stops are numbered.
+    dates: (day_type, date). Rows without a departure time are left out before stops are numbered. Trips are dealt to
+    tasks by the size of stop_times.
     """
     running = dates.join(services, "date").join(trips, "service_id").join(renamed_routes(routes), "route_id", "left")
-    timed = stop_times.withColumn("dep", minutes(F.col("departure_time"))).where("dep is not null")
+    # `dep` is made from what was dealt: with an exchange right under it, a join falls back on Spark's own number of tasks.
+    dealt = stop_times.repartition(tasks_for(stop_times, STOP_TIMES_MB), "trip_id")
+    timed = dealt.withColumn("dep", minutes(F.col("departure_time"))).where("dep is not null")
     rows = running.join(timed, "trip_id")
     trip = Window.partitionBy("day_type", "trip_id")
     order = trip.orderBy(F.col("stop_sequence").cast("int"))

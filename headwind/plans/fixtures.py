@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwind.sources import files
+from headwind.session import tasks_for
 
 STATION = 8_500_000
 # Line names that cover every kind of match.
 TRIP_LINES = ("RE12", "RE", "RE5", "S3", "9", "IC21", "S")
 ROUTES = (("RE", "RE 12"), ("RE", "Regio"), ("RE", "RE5"), ("S", "S 3"), ("9", "Bus 9"), ("IC", "IC 21"), ("S", ""))
+#: MB of lineitem's packed columns for a task; about 400,000 rows.
+LINE_ITEMS_MB = 2
 #: Board requests: (anchor, query, day type, minute, limit).
 BOARD_REQUESTS = [(0, "8500004:0:0", 2, 15, 5), (1, "8500007", 6, 480, 3), (2, "russia", 0, 1200, 4), (3, "nowhere", 0, 15, 4), (4, "Supplier#000000003", 5, 1439, 12)]
 EVENT_LINES = {"view": "RE12", "click": "RE", "signup": "S3", "error": "9", "purchase": "IC"}
@@ -66,25 +68,18 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.weekday(F.col("o_orderdate").cast("date")).cast("int").alias("day_type"))
     trip = Window.partitionBy("l_orderkey")
     order = trip.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.row_number().over(order).alias("seq"), F.count("*").over(trip).cast("int").alias("n_stops"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    li = li.repartition(tasks_for(li, LINE_ITEMS_MB), "l_orderkey").select("l_orderkey", "l_suppkey", F.row_number().over(order).alias("seq"), F.count("*").over(trip).cast("int").alias("n_stops"))
     line = F.element_at(F.array(*[F.lit(x) for x in TRIP_LINES]), (F.col("o_orderkey") % 7 + 1).cast("int"))
     dep = (30 + 60 * ((F.col("o_orderkey") * 5) % 24) + 60 * (F.col("seq") - 1)).cast("int")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("day_type", F.col("l_orderkey").alias("trip"), "seq", "n_stops", (F.lit(STATION) + F.col("l_suppkey")).cast("int").alias("stop"), line.alias("line"), dep.alias("dep"))
 
 
-def _one_file(df: DataFrame, path: str) -> None:
-    """df as one file with a header, as feeds have them."""
-    df.coalesce(1).write.csv(f"{path}.parts", header=True, emptyValue="")
-    made = next(n for n in files.children(f"{path}.parts") if n.endswith(".csv"))
-    store, own = files.locate(path)
-    store.move(f"{own}.parts/{made}", own)
-    files.remove(f"{path}.parts")
-
-
 def write_feed(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """A feed of the stop times: a service for each weekday; on Wednesday 2026-08-19 Monday's service runs instead.
 
-    Every eleventh stop has no departure time. Routes are named by category and number in their long names.
+    Every eleventh stop has no departure time. Routes are named by category and number in their long names. A table is a
+    folder of files that each have the header, written by as many tasks as its rows need.
     """
     times = stop_times(spark, sf_dir)
     service = F.concat(F.lit("d"), F.col("day_type"))
@@ -101,7 +96,7 @@ def write_feed(spark: SparkSession, sf_dir: str, folder: str) -> None:
         "feed_info": rows("feed_start_date string, feed_end_date string", ("20260101", "20261231")),
     }
     for name, df in tables.items():
-        _one_file(df, f"{folder}/{name}.txt")
+        df.write.csv(f"{folder}/{name}.txt", header=True, emptyValue="")
 
 
 def anchors(spark: SparkSession, sf_dir: str, times: tuple[int, ...], limit: int = 12) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import re
 import shutil
 import tempfile
@@ -91,6 +92,20 @@ def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
     return len(gone)
 
 
+def tasks_for(table: DataFrame, mb: float) -> int:
+    """How many tasks a table's rows are to be dealt to, so that a task's share does not grow with the table: one for each
+    mb of its files, or for each MB as far as the cores go. Where Spark knows no size, as many as it takes by default.
+
+    Spark coalesces its own exchanges to 64 MB as packed for sending, which sorts unpack to a multiple in memory; a number
+    of tasks that is given stays.
+    """
+    spark = table.sparkSession
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / (1 << 20)
+    if size > 1 << 30:  # MB; rows that come from no file count as all that a number can hold
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(size / mb), min(spark.sparkContext.defaultParallelism, math.ceil(size)))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet below shared_dir() and read it back.
 

@@ -76,6 +76,17 @@ def remove(path: str) -> None:
         files.delete_file(own)
 
 
+def first_part(path: str) -> str:
+    """The path itself, or the first file that Spark reads in it if it is a folder; a folder without one is an error."""
+    files, own = locate(path)
+    if files.get_file_info(own).type != pafs.FileType.Directory:
+        return path
+    parts = [n for n in children(path) if n[0] not in "._"]
+    if not parts:
+        raise FileNotFoundError(f"{path} has no files")
+    return f"{path}/{parts[0]}"
+
+
 def first_line(path: str) -> str:
     """A text file's first line without a byte order mark and line end; `` for an empty file."""
     files, own = locate(path)

@@ -43,11 +43,14 @@ def read_stop_events(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_feed_table(spark: SparkSession, folder: str, name: str, optional: bool = False) -> DataFrame | None:
-    """A feed's comma-separated table as text by its header; None for a missing optional one."""
+    """A feed's comma-separated table as text by its header; None for a missing optional one.
+
+    The table is a file, or a folder of files that all have the same header.
+    """
     path = f"{folder}/{name}"
     if optional and not files.exists(path):
         return None
-    names = header(files.first_line(path), ",")
+    names = header(files.first_line(files.first_part(path)), ",")
     return spark.read.schema(_texts(names)).csv(path, header=True, quote='"', escape='"', enforceSchema=True, multiLine=False)
 
 
