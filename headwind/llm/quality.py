@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from headwind.llm import kernel as K
 from headwind.llm.folds import bounded_sample, fold
 from headwind.llm.workers import mapped
+from headwind.session import give_back
 
 #: Labelled rows to learn from at most, pairs drawn from them, and the weight of the squared weights.
 MOST_ROWS, PAIRS, RIDGE, SEED = 50_000, 200_000, 1e-3, 11
@@ -117,7 +118,8 @@ def train_pairwise(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: floa
         model.threshold = 1.0 if len(bad) else -1.0
         return model
     z, rng = model.spread(x), np.random.default_rng(seed)
-    diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    diff = z[rng.choice(good, pairs)]
+    diff -= z[rng.choice(bad, pairs)]  # in place: the pairs are the most that the driver's Python holds
     w = np.zeros(z.shape[1])
     for _ in range(30):  # Newton's method
         chance = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
@@ -171,6 +173,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", part
     y = np.concatenate([rows["most"].to_numpy(np.int64), np.zeros(int(both.sum()), np.int64)])
     at = np.concatenate([rows["doc_id"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64)[both]])
     order = np.lexsort((*x.T[::-1], y, at))
+    give_back(docs.sparkSession)
     return train_pairwise(x[order], y[order])
 
 

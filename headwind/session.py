@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Naive wall-clock arithmetic needs a zone without shifts; AQE re-plans partition counts and skewed joins.
@@ -21,6 +22,9 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Share of its heap's bound that the driver's JVM holds before give_back() collects its garbage.
+HELD = 0.5
+
 _own_dir: list[str] = []
 _shipped: set[str] = set()
 _made: list[str] = []
@@ -106,13 +110,37 @@ def tasks_for(table: DataFrame, mb: float) -> int:
     return max(1, math.ceil(size / mb), min(spark.sparkContext.defaultParallelism, math.ceil(size)))
 
 
+def give_back(spark: SparkSession) -> bool:
+    """Return memory that the driver's JVM holds and does not use to the system; whether its JVM can trim what is no heap.
+
+    Plans and events of many small steps leave garbage, for which the heap grows up to its bound, and freed native memory,
+    which malloc keeps for each thread. Garbage is collected once the heap holds HELD of its bound. JVMs before
+    17.0.9, or elsewhere than on Linux, don't trim.
+    """
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() >= HELD * heap.maxMemory():
+        jvm.java.lang.System.gc()
+    # The server's own class is not open to reflection, its interface is.
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = sc._gateway.new_array(jvm.java.lang.Object, 4)
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet below shared_dir() and read it back.
 
     This cuts the lineage: a lost executor costs the tasks at hand, not the whole history. The files stay
-    until release().
+    until release(). What planning and running df took of the driver's memory is given back.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -35,6 +35,17 @@ def test_release_keeps_what_is_still_read(spark):
     session.release(spark)
 
 
+def test_each_written_table_gives_memory_back(spark, monkeypatch):
+    calls, mark = [], session.made()
+    monkeypatch.setattr(session, "give_back", calls.append, raising=False)
+    assert session.materialize(spark.range(5), "five").count() == 5 and session.release(spark, mark) == 1
+    assert calls == [spark]
+
+
+def test_giving_memory_back_needs_no_trim(spark):
+    assert session.give_back(spark) in (True, False)
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf:
         get = staticmethod(lambda key, default=None: None)
